@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from averis.functions.names import pair_key, pair_side, speaker_key, split_key
-from averis.llm import distinct, leakage, lookalike, packing, pieces, splits
+from averis.llm import distinct, leakage, lookalike, packing, pieces, pii, reading, sentences, splits
 from averis.session import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -54,6 +54,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where("df <= 8 AND weight > 0").select("case_id", "side", "term")
 
 
+# ---- 4 ----
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sides(spark, sf_dir)
+    return sentences.sentence_ends(texts, ["case_id", "side"], "text", sentences.fit(texts, "case_id", "text"))
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sides(spark, sf_dir)
+    return sentences.sentences(texts, ["case_id", "side"], "text", sentences.fit(texts, "case_id", "text"))
+
+
 # ---- 5 ----
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(sides(spark, sf_dir), ["case_id", "side"], "text")
@@ -63,6 +74,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece = 2").select("case_id", "side")
 
 
+# ---- 6 ----
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sides(spark, sf_dir, "masking").where("masking = 'original'")
+    spans = pii.personal_data(texts, ["case_id", "side"], "text")
+    return spans.select("case_id", "side", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["pii"].alias("pii"))))).alias("s")).select("case_id", "side", "s.kind", "s.pii")
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(sides(spark, sf_dir), ["case_id", "side"], "text")
+
+
+# ---- 7 ----
+def p7_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = reading.read_samples(table(spark, sf_dir, "reading_labels"))
+    return reading.with_level(sides(spark, sf_dir, "masking", "lang").where("masking = 'original'"), ["case_id", "side"], "lang", "text", samples).select("case_id", "side", "level")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_levels(spark, sf_dir).where("level = 4").select("case_id", "side")
+
+
 # ---- 8 ----
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -96,7 +128,7 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_form(docs, "text", "form", lookalike.fit_speller(docs, "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_weights, p5_found, p5_pieces, p8_found, p8_packed, p9_found, p9_clean, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_weights, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_masked, p7_found, p7_levels, p8_found, p8_packed, p9_found, p9_clean, p10_found, p10_forms)}
 
 _SIDES = "(SELECT case_id, 'known' AS side, known AS text FROM read_corpus_sorted UNION ALL SELECT case_id, 'unknown', unknown FROM read_corpus_sorted)"
 _TERMS = f"""t AS (SELECT case_id, side, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS term FROM {_SIDES} WHERE text IS NOT NULL),
@@ -107,6 +139,4 @@ SQL = {
 s AS (SELECT term, sum(tf) AS g, sum(tf * log2(tf)) AS s FROM c GROUP BY term)
 SELECT case_id, side, term, tf, round(log2(1 + tf) * greatest(0, 1 - (log2(g) - s / g) / n), 6) AS weight FROM c JOIN s USING (term), n""",
     "p5_found": f"SELECT case_id, side FROM {_SIDES} WHERE length(text) > 3000",
-    "p8_found": r"""SELECT doc_id FROM documents WHERE length(regexp_replace(regexp_replace(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+', chr(1), 'g'), '[^\x01]', '', 'g')) > 1024 AND false""",
 }
-del SQL["p8_found"]
