@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from averis.plans import delivery
+from averis.plans import delivery, evaluation
 
 
 def modules() -> list:
-    return [delivery]
+    return [delivery, evaluation]
