@@ -41,6 +41,13 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[list[int], list[flo
             kind[m.end()] = PENALTIES[k]
     kind.pop(0, None)
     kind.pop(len(text), None)
+    cells: dict[int, int] = {}
+    for p in sorted(kind):  # of the plain blanks in a stretch of 8 characters the last one stands for all
+        if kind[p] == PENALTIES[4]:
+            old = cells.get(p // 8)
+            if old is not None:
+                del kind[old]
+            cells[p // 8] = p
     natural = sorted(kind)
     gap = max(1, (limit - overlap) // 4)
     stride = max(1, min(STRIDE, gap // 2))
@@ -55,41 +62,54 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[list[int], list[flo
     return at, [kind[p] for p in at]
 
 
+def _best_cuts(pos: np.ndarray, pen: np.ndarray, n: int, limit: int, overlap: int, count: int) -> tuple[float, list[int]]:
+    """Cheapest cuts into exactly ``count`` pieces, layer by layer: cut k can only lie where both what is before it and
+    what is behind it fit, a window no wider than the slack of the text."""
+    step = limit - overlap
+    ideal = (n - overlap) / count
+    at, cost, back = np.array([0]), np.array([0.0]), []
+    for k in range(1, count + 1):
+        if k < count:
+            lo = bisect_left(pos, max(overlap + 1, n - (count - k) * step))
+            hi = bisect_right(pos, min(n - 1, limit + (k - 1) * step))
+            ends, price = pos[lo:hi], pen[lo:hi]
+        else:
+            ends, price = np.array([n]), np.array([0.0])
+        if not len(ends):
+            return np.inf, []
+        size = ends[None, :] - at[:, None]
+        total = cost[:, None] + 4.0 * (size / ideal - 1.0) ** 2
+        total = np.where((size > 0) & (size <= (limit if k == 1 else step)), total, np.inf)
+        best = total.argmin(0)
+        back.append(best)
+        cost = total[best, np.arange(len(ends))] + price
+        at = ends
+        back[-1] = (best, ends)
+    if not np.isfinite(cost[0]):
+        return np.inf, []
+    out, j = [], 0
+    for best, ends in reversed(back):
+        out.append(int(ends[j]))
+        j = int(best[j])
+    return float(cost[0]), out[::-1]
+
+
 def cut_points(text: str, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces, the last being the length of the text."""
+    """Ends of the pieces, the last being the length of the text. The fewest pieces that fit are taken; one or two more
+    are tried where the fewest leave so little slack that a cut would fall at no natural boundary."""
     n = len(text)
     if n <= limit:
         return [n] if n else []
-    pos, pen = boundaries(text, limit, overlap)
-    ends, pens = np.array([0, *pos, n]), np.array([0.0, *pen, 0.0])
+    pos, pen = (np.array(x) for x in boundaries(text, limit, overlap))
     step = limit - overlap
-    count = -(-(n - overlap) // step)
-    ideal = (n - overlap) / count
-    cost = np.full(len(ends), np.inf)
-    back = np.zeros(len(ends), dtype=np.int64)
-    cost[0] = 0.0
-    for j in range(1, len(ends)):
-        lo = bisect_left(ends, ends[j] - step, 0, j)
-        if ends[j] <= limit:
-            lo = 0
-        hi = bisect_right(ends, ends[j] - 1, 0, j)
-        before = ends[lo:hi]
-        # a piece other than the first starts `overlap` before its cut, so that cut must lie at least that far in
-        new = np.where(before > 0, before - overlap, 0)
-        ok = (ends[j] - new <= limit) & ((before == 0) | (before > overlap))
-        if not ok.any():
-            continue
-        total = cost[lo:hi] + pens[j] + 4.0 * ((ends[j] - before) / ideal - 1.0) ** 2 + 1.0
-        total = np.where(ok, total, np.inf)
-        k = int(total.argmin())
-        cost[j], back[j] = total[k], lo + k
-    if not np.isfinite(cost[-1]):
-        return [*range(limit, n, step), n]
-    out, j = [], len(ends) - 1
-    while j:
-        out.append(int(ends[j]))
-        j = int(back[j])
-    return out[::-1]
+    fewest = -(-(n - overlap) // step)
+    best: tuple[float, list[int]] = (np.inf, [])
+    for count in range(fewest, fewest + 3):
+        got = _best_cuts(pos, pen, n, limit, overlap, count)
+        best = min(best, (got[0] + count, got[1]))
+        if best[0] - count < PENALTIES[5]:
+            break
+    return best[1] or [*range(limit, n, step), n]
 
 
 def pieces(df: DataFrame, keys: list[str], text: str, limit: int = 3000, overlap: int = 200) -> DataFrame:
