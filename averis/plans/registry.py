@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from averis.plans import delivery, evaluation
+from averis.plans import corpora, delivery, evaluation
 
 
 def modules() -> list:
-    return [delivery, evaluation]
+    return [delivery, evaluation, corpora]
