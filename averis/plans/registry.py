@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from averis.plans import corpora, delivery, evaluation
+from averis.plans import corpora, delivery, evaluation, texts, vectors
 
 
 def modules() -> list:
-    return [delivery, evaluation, corpora]
+    return [delivery, evaluation, corpora, texts, vectors]
