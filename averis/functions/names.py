@@ -51,10 +51,9 @@ def pair_side(c: Column | str, side: int) -> Column:
 
 
 def pair_key(c: Column | str) -> Column:
-    """``known \\u0001 unknown`` of a folder name; index names and anything else the pattern rejects stay as they are."""
-    c = col_of(c)
-    known = pair_side(c, 1)
-    return F.when(known != "", F.concat(known, F.lit("\u0001"), pair_side(c, 2))).otherwise(c)
+    """``known \\u0001 unknown`` of a folder name, in one pass of the pattern; index names and anything else the pattern
+    rejects stay as they are but for their blanks."""
+    return squeeze(F.regexp_replace(compose(c), PAIR, "$1\u0001$2"))
 
 
 def speaker_key(c: Column | str) -> Column:

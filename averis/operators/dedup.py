@@ -55,8 +55,10 @@ def quotient_table(df: DataFrame, keys: Sequence[Column], row_id: str, quotient_
     Nulls in a key field are a value of their own. Rows whose ``row_id`` is null are never kept unless all copies have
     none. An empty table gives an empty table. Column names of ``df`` do not matter: only expressions are read.
     """
-    hi, lo = identifier(keys)
-    rows = df.select(hi.alias("_h"), lo.alias("_l"), F.xxhash64(_framed(keys)).alias("_c"), F.col(row_id).cast("bigint").alias("_id"))
+    rows = df.select(_framed(keys).alias("_f"), F.col(row_id).cast("bigint").alias("_id"))
+    rows = rows.select(F.md5(F.col("_f").cast("binary")).alias("_d"), F.xxhash64("_f").alias("_c"), "_id")
+    word = lambda a: F.conv(F.substring("_d", a, 16), 16, -10).cast("bigint")
+    rows = rows.select(word(1).alias("_h"), word(17).alias("_l"), "_c", "_id")
     for r in range(ROUNDS):
         rows = rows.select(F.col("_l").alias("_h"), F.col("_h").bitwiseXOR(F.xxhash64(F.col("_l"), F.lit(r))).alias("_l"), "_c", "_id")
     mask = (1 << (64 - quotient_bits)) - 1
