@@ -6,8 +6,8 @@ sentence around them, and one at their end only if the sentence around does not
 (question and exclamation marks, ideographic stops, dandas) end a sentence unless it visibly goes on; Thai-like scripts
 part sentences by blanks. The ambiguous period is classified by maximum entropy over features of its neighbours
 (tokens, case, length, digits, script, known abbreviations), trained on reliable boundaries of the corpus: periods at
-line ends as positives, periods before a lower-case word or inside known abbreviations as negatives. Training reads at
-most ``sample`` texts (smallest key hashes); classification covers every text. Decisions are kept in a memo by
+line ends as positives, periods before a lower-case word or inside known abbreviations as negatives. Training reads about
+``sample`` texts (one class of key hashes); classification covers every text. Decisions are kept in a memo by
 feature key, so the classifier runs once per distinct neighbourhood.
 
 Defined results: null and empty or blank texts give no sentence; a text without any mark is one sentence per line;
@@ -277,9 +277,11 @@ def train(texts: list[str], l2: float = 1.0, steps: int = 300) -> dict[str, floa
 
 
 def fit(df: DataFrame, key: str, text: str, sample: int = 3000) -> dict[str, float]:
-    """Weights trained on the ``sample`` texts with the smallest hash of ``key`` and text length."""
-    rows = df.select(F.col(text).alias("t"), F.xxhash64(F.col(key), F.length(text)).alias("h")).where("length(t) BETWEEN 20 AND 4000")
-    return train([r["t"] for r in rows.orderBy("h", "t").limit(sample).collect()])
+    """Weights trained on about ``sample`` texts: those whose key falls into one of ``rows / sample`` hash classes, so the
+    driver gets a sample of one size from a table of any size."""
+    classes = max(1, df.count() // sample)
+    rows = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(classes)) == 0).select(F.col(text).alias("t")).where("length(t) BETWEEN 20 AND 4000")
+    return train(sorted(r["t"] for r in rows.collect()))
 
 
 def sentence_ends(df: DataFrame, keys: list[str], text: str, weights: dict[str, float]) -> DataFrame:
