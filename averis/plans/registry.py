@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from averis.plans import corpora, delivery, evaluation, scoring, texts, vectors
+from averis.plans import corpora, delivery, evaluation, scoring, stream, texts, vectors
 
 
 def modules() -> list:
-    return [delivery, evaluation, corpora, texts, vectors, scoring]
+    return [delivery, evaluation, corpora, texts, vectors, scoring, stream]
