@@ -48,7 +48,7 @@ def word_properties(tok: DataFrame) -> DataFrame:
     n = F.length("token")
     types = w.groupBy("doc_id", "low").agg(F.count(F.lit(1)).alias("c"), F.sum(n).alias("chars"), F.count_if(n < 5).alias("short"), F.count_if(n >= 8).alias("long"), F.count_if((n >= 5) & F.col("token").rlike(r"^\p{Lu}")).alias("cap"))
     g = types.groupBy("doc_id").agg(F.sum("c").alias("words"), F.count(F.lit(1)).alias("types"), F.sum("chars").alias("chars"), F.sum("short").alias("s"), F.sum("long").alias("l"), F.sum("cap").alias("k"))
-    r = lambda a: F.round(F.col(a) / F.col("words"), 6)
+    r = lambda a: F.round(F.col(a) / F.col("words"), 9)
     return g.select("doc_id", "words", "types", r("chars").alias("avg_length"), r("s").alias("short_ratio"), r("l").alias("long_ratio"), r("k").alias("capital_ratio"), r("types").alias("type_ratio"))
 
 
@@ -67,7 +67,7 @@ def yule_hapax(tok: DataFrame) -> DataFrame:
     i, f = F.col("i"), F.col("f")
     g = spectrum(tok).groupBy("doc_id").agg(F.sum(i * f).alias("n"), F.sum(f).alias("v"), F.sum(i * i * f).alias("m2"), F.sum(F.when(i == 1, f).otherwise(0)).alias("v1"), F.sum(F.when(i == 2, f).otherwise(0)).alias("v2"))
     v, m2, n = F.col("v"), F.col("m2"), F.col("n")
-    return g.select("doc_id", F.round(F.when(m2 > v, v * v / (m2 - v)).otherwise(0.0), 6).alias("yule_i"), F.round(F.col("v1") / n, 6).alias("hapax"), F.round(F.col("v2") / n, 6).alias("dis"))
+    return g.select("doc_id", F.round(F.when(m2 > v, v * v / (m2 - v)).otherwise(0.0), 9).alias("yule_i"), F.round(F.col("v1") / n, 9).alias("hapax"), F.round(F.col("v2") / n, 9).alias("dis"))
 
 
 def richness(tok: DataFrame, window: int = 1000) -> DataFrame:
@@ -112,7 +112,7 @@ def length_histogram(tok: DataFrame) -> DataFrame:
     """Characters without white space, mean token length, shares of tokens of 1..10 characters."""
     n = F.length("token")
     g = tok.groupBy("doc_id").agg(F.sum(n).alias("chars"), F.count(F.lit(1)).alias("tokens"), *[F.count_if(n == k).alias(f"c{k}") for k in range(1, 11)])
-    return g.select("doc_id", "chars", F.round(F.col("chars") / F.col("tokens"), 6).alias("avg_chars"), *[F.round(F.col(f"c{k}") / F.col("tokens"), 6).alias(f"len_{k}") for k in range(1, 11)])
+    return g.select("doc_id", "chars", F.round(F.col("chars") / F.col("tokens"), 9).alias("avg_chars"), *[F.round(F.col(f"c{k}") / F.col("tokens"), 9).alias(f"len_{k}") for k in range(1, 11)])
 
 
 def sentence_lengths(docs: DataFrame, text: str = "text", top: int = 69) -> DataFrame:
@@ -120,4 +120,4 @@ def sentence_lengths(docs: DataFrame, text: str = "text", top: int = 69) -> Data
     lens = F.transform(T.sentences(text), lambda s: F.size(T.tokens(s)))
     d = docs.select("doc_id", lens.alias("l")).where(F.size("l") > 0)
     e = d.select("doc_id", "l", F.explode(F.sequence(F.lit(3), F.least(F.lit(top), F.greatest(F.lit(3), F.array_max("l"))))).alias("i"))
-    return e.select("doc_id", "i", F.round(F.size(F.filter("l", lambda x: x >= F.col("i"))) / F.size("l"), 6).alias("share")).where("share > 0")
+    return e.select("doc_id", "i", F.round(F.size(F.filter("l", lambda x: x >= F.col("i"))) / F.size("l"), 9).alias("share")).where("share > 0")

@@ -22,8 +22,8 @@ def confusion(df: DataFrame, by: list[str], truth: str = "y_true", pred: str = "
     c = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*by).agg(n(1, 1).alias("tp"), n(1, 0).alias("fn"), n(0, 1).alias("fp"), n(0, 0).alias("tn"), F.count(F.lit(1)).alias("n"))
     tp, fn, fp, tn = (F.col(x).cast("double") for x in ("tp", "fn", "fp", "tn"))
     return c.withColumns({
-        "acc": F.round(_ratio(tp + tn, F.col("n")), 4), "prec": F.round(_ratio(tp, tp + fp), 4),
-        "rec": F.round(_ratio(tp, tp + fn), 4), "f1": F.round(_ratio(2 * tp, 2 * tp + fp + fn), 4),
+        "acc": F.round(_ratio(tp + tn, F.col("n")), 9), "prec": F.round(_ratio(tp, tp + fp), 9),
+        "rec": F.round(_ratio(tp, tp + fn), 9), "f1": F.round(_ratio(2 * tp, 2 * tp + fp + fn), 9),
     })
 
 
@@ -38,7 +38,7 @@ def auc(df: DataFrame, by: list[str], score: str = "score", truth: str = "y_true
     below = F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
     d = d.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
     g = d.groupBy(*by).agg(F.sum("u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    return g.select(*by, F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise(F.round(F.col("u") / (F.col("p") * F.col("q")), 4)).alias("auc"))
+    return g.select(*by, F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise(F.round(F.col("u") / (F.col("p") * F.col("q")), 9)).alias("auc"))
 
 
 def metrics(df: DataFrame, by: list[str]) -> DataFrame:
@@ -90,7 +90,7 @@ def accuracy_threshold(df: DataFrame, by: list[str], ends: tuple[float, float] |
     d = d.select(*by, "n", "i", F.array(*firsts).alias("first"), cand.alias("cand"))
     both = d.select(*by, "n", F.explode(F.when(F.col("i") == 1, F.concat("first", F.array("cand"))).otherwise(F.array("cand"))).alias("c")).where("c.t IS NOT NULL")
     g = both.groupBy(*by).agg(F.min("c").alias("c"), F.max("n").alias("n"))
-    return g.select(*by, F.round("c.t", 9).alias("threshold"), F.round(-F.col("c.loss") / F.col("n"), 4).alias("acc"))
+    return g.select(*by, F.round("c.t", 9).alias("threshold"), F.round(-F.col("c.loss") / F.col("n"), 9).alias("acc"))
 
 
 def decide(df: DataFrame, thresholds: DataFrame, by: list[str], strict: bool = False, score: str = "score") -> DataFrame:

@@ -35,7 +35,7 @@ def bootstrap(df: DataFrame, by: list[str], order: list[str], correct: str, b: i
     ranked = accs.withColumn("r", F.row_number().over(w) - 1)
     lo, hi = int(alpha / 2 * b), min(b - 1, int((1 - alpha / 2) * b))
     at = lambda r: F.max(F.when(F.col("r") == r, F.col("h") / F.col("n")))
-    return ranked.groupBy(*by, "n", "k").agg(F.round(at(lo), 4).alias("lo"), F.round(at(hi), 4).alias("hi")).select(*by, "n", F.round(F.col("k") / F.col("n"), 4).alias("acc"), "lo", "hi")
+    return ranked.groupBy(*by, "n", "k").agg(F.round(at(lo), 9).alias("lo"), F.round(at(hi), 9).alias("hi")).select(*by, "n", F.round(F.col("k") / F.col("n"), 9).alias("acc"), "lo", "hi")
 
 
 def paired_randomization(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", ok_a: str = "ok_a", ok_b: str = "ok_b", r: int = 1000, exact_threshold: int = 12, seed: int = 1) -> DataFrame:
@@ -52,10 +52,10 @@ def paired_randomization(pairs: DataFrame, by: list[str], a: str = "a", b: str =
     key = F.concat_ws("|", F.lit(str(seed)), *keys)
     many = g.where(F.col("d") > exact_threshold).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
     signs = many.select(*keys, "n", "ra", "rb", "d", "s", "rep", (1 - 2 * F.pmod(draw(key, F.col("rep"), F.col("i")), F.lit(2))).alias("e"))
-    stat = signs.groupBy(*keys, "n", "ra", "rb", "d", "s", "rep").agg(F.abs(F.sum("e")).alias("t"))
-    approx = stat.groupBy(*keys, "n", "ra", "rb", "d").agg(((F.count_if(F.col("t") >= F.col("s")) + 1) / (r + 1)).alias("p"))
+    stat = signs.groupBy(*keys, "n", "ra", "rb", "d", "s", "rep").agg(F.abs(F.sum("e")).alias("_stat"))
+    approx = stat.groupBy(*keys, "n", "ra", "rb", "d").agg(((F.count_if(F.col("_stat") >= F.col("s")) + 1) / (r + 1)).alias("p"))
     both = exact.unionByName(approx)
-    return both.select(*keys, "n", F.round(F.col("ra") / F.col("n"), 4).alias("acc_a"), F.round(F.col("rb") / F.col("n"), 4).alias("acc_b"), F.round("p", 6).alias("p"), stars(F.col("p")).alias("stars"))
+    return both.select(*keys, "n", F.round(F.col("ra") / F.col("n"), 9).alias("acc_a"), F.round(F.col("rb") / F.col("n"), 9).alias("acc_b"), F.round("p", 6).alias("p"), stars(F.col("p")).alias("stars"))
 
 
 def stratified_randomization(df: DataFrame, by: list[str], stratum: str, group: str, value: str, r: int = 200, seed: int = 1) -> DataFrame:

@@ -135,13 +135,13 @@ def d06_author_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("author").agg(F.sum("n").alias("n_cases"), F.count(F.lit(1)).alias("n_texts"))
 
 
-@query("SELECT masking, topic, count(*) AS cases, count_if(label = 1) AS y, count_if(label = 0) AS n FROM read_corpus_sorted GROUP BY ALL")
+@query("SELECT masking, topic, count(*) AS cases, count_if(label = 1)::BIGINT AS y, count_if(label = 0)::BIGINT AS n FROM read_corpus_sorted GROUP BY ALL")
 def s01_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "read_corpus_sorted").groupBy("masking", "topic").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("label") == 1).alias("y"), F.count_if(F.col("label") == 0).alias("n"))
 
 
 @query(f"""WITH {_CASES}, m AS (SELECT DISTINCT masking, topic, ka AS s FROM c UNION SELECT DISTINCT masking, topic, ua FROM c)
-SELECT topic, s AS speaker, count_if(masking='original') AS in_original, count_if(masking='posnoised') AS in_posnoised FROM m GROUP BY ALL HAVING count(DISTINCT masking) < 2""")
+SELECT topic, s AS speaker, count_if(masking='original')::BIGINT AS in_original, count_if(masking='posnoised')::BIGINT AS in_posnoised FROM m GROUP BY ALL HAVING count(DISTINCT masking) < 2""")
 def r09_maskings_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers of a topic that one masking has and the other lacks."""
     m = cases(spark, sf_dir).select("masking", "topic", F.explode(F.array("ka", "ua")).alias("speaker")).distinct()
@@ -151,7 +151,7 @@ def r09_maskings_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_DOCS}, {_split(42)}, w AS (SELECT *, (pos + 1) % n AS nx FROM s), k AS ({_Y} UNION ALL SELECT l.topic, l.split, l.author, r.author, l.doc2, r.doc1, 0 FROM w l JOIN w r ON l.topic=r.topic AND r.pos=l.nx WHERE l.n>1),
 h AS (SELECT topic, author AS s, split AS home FROM s)
-SELECT topic, split, count_if(label=1) AS y_cases, count_if(label=0) AS n_cases, max(sp) AS speakers, count_if(label=0 AND (hk<>split OR hu<>split)) AS straddling
+SELECT topic, split, count_if(label=1)::BIGINT AS y_cases, count_if(label=0)::BIGINT AS n_cases, max(sp) AS speakers, count_if(label=0 AND (hk<>split OR hu<>split))::BIGINT AS straddling
 FROM (SELECT k.*, a.home AS hk, b.home AS hu FROM k JOIN h a ON a.topic=k.topic AND a.s=known_author JOIN h b ON b.topic=k.topic AND b.s=unknown_author)
 JOIN (SELECT topic, split, count(DISTINCT s) AS sp FROM (SELECT topic, split, known_author AS s FROM k UNION SELECT topic, split, unknown_author FROM k) GROUP BY ALL) USING (topic, split) GROUP BY ALL""")
 def r17_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def r17_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CASES}, e AS (SELECT DISTINCT topic, least(ka, ua) AS u, greatest(ka, ua) AS v FROM c WHERE ka <> ua), d AS (SELECT topic, s, count(*) AS degree FROM (SELECT topic, u AS s FROM e UNION ALL SELECT topic, v FROM e) GROUP BY ALL)
-SELECT topic, count(*) AS speakers, any_value(edges) AS edges, max(degree) AS max_degree, count_if(degree = 2) AS of_degree_2, (min(degree) = 2 AND max(degree) = 2 AND any_value(edges) = count(*)) AS all_rings FROM d JOIN (SELECT topic, count(*) AS edges FROM e GROUP BY topic) USING (topic) GROUP BY topic""")
+SELECT topic, count(*) AS speakers, any_value(edges) AS edges, max(degree) AS max_degree, count_if(degree = 2)::BIGINT AS of_degree_2, (min(degree) = 2 AND max(degree) = 2 AND any_value(edges) = count(*)) AS all_rings FROM d JOIN (SELECT topic, count(*) AS edges FROM e GROUP BY topic) USING (topic) GROUP BY topic""")
 def r18_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = cases(spark, sf_dir).where("ka <> ua").select("topic", F.least("ka", "ua").alias("u"), F.greatest("ka", "ua").alias("v")).distinct()
     d = e.select("topic", F.explode(F.array("u", "v")).alias("s")).groupBy("topic", "s").agg(F.count(F.lit(1)).alias("degree"))
@@ -169,7 +169,7 @@ def r18_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_CASES}, t AS (SELECT topic, ka AS s, count(DISTINCT md5(known)) AS texts FROM c WHERE known IS NOT NULL AND masking='original' GROUP BY ALL), a AS (SELECT topic, sum(texts) AS total FROM t GROUP BY topic)
-SELECT case_id, total - coalesce(x.texts, 0) - CASE WHEN ka <> ua THEN coalesce(y.texts, 0) ELSE 0 END AS reference_texts FROM c JOIN a USING (topic) LEFT JOIN t x ON x.topic=c.topic AND x.s=ka LEFT JOIN t y ON y.topic=c.topic AND y.s=ua WHERE masking='original'""")
+SELECT case_id, (total - coalesce(x.texts, 0) - CASE WHEN ka <> ua THEN coalesce(y.texts, 0) ELSE 0 END)::BIGINT AS reference_texts FROM c JOIN a USING (topic) LEFT JOIN t x ON x.topic=c.topic AND x.s=ka LEFT JOIN t y ON y.topic=c.topic AND y.s=ua WHERE masking='original'""")
 def r16_reference_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each case's reference population (texts of all other speakers), by subtraction instead of a theta join."""
     c = cases(spark, sf_dir).where("masking = 'original'")

@@ -52,29 +52,29 @@ def query(sql: str | None = None):
     return add
 
 
-_CONF = """count_if(y_true=1 AND y_pred=1) AS tp, count_if(y_true=1 AND y_pred=0) AS fn, count_if(y_true=0 AND y_pred=1) AS fp, count_if(y_true=0 AND y_pred=0) AS tn, count(*) AS n"""
-_RATIOS = """round((tp+tn)/n, 4) AS acc, CASE WHEN tp+fp=0 THEN 0.0 ELSE round(tp/(tp+fp), 4) END AS prec, CASE WHEN tp+fn=0 THEN 0.0 ELSE round(tp/(tp+fn), 4) END AS rec, CASE WHEN 2*tp+fp+fn=0 THEN 0.0 ELSE round(2*tp/(2*tp+fp+fn), 4) END AS f1"""
+_CONF = """count_if(y_true=1 AND y_pred=1)::BIGINT AS tp, count_if(y_true=1 AND y_pred=0)::BIGINT AS fn, count_if(y_true=0 AND y_pred=1)::BIGINT AS fp, count_if(y_true=0 AND y_pred=0)::BIGINT AS tn, count(*) AS n"""
+_RATIOS = """round((tp+tn)/n, 9) AS acc, CASE WHEN tp+fp=0 THEN 0.0 ELSE round(tp/(tp+fp), 9) END AS prec, CASE WHEN tp+fn=0 THEN 0.0 ELSE round(tp/(tp+fn), 9) END AS rec, CASE WHEN 2*tp+fp+fn=0 THEN 0.0 ELSE round(2*tp/(2*tp+fp+fn), 9) END AS f1"""
 
 
 def _auc_sql(src: str, by: str) -> str:
-    return f"""a AS (SELECT {by}, CASE WHEN sum(y_true)=0 OR sum(y_true)=count(*) THEN 0.5 ELSE round((sum(CASE WHEN y_true=1 THEN ar END) - sum(y_true)*(sum(y_true)+1)/2)/(sum(y_true)*(count(*)-sum(y_true))), 4) END AS auc
+    return f"""a AS (SELECT {by}, CASE WHEN sum(y_true)=0 OR sum(y_true)=count(*) THEN 0.5 ELSE round((sum(CASE WHEN y_true=1 THEN ar END) - sum(y_true)*(sum(y_true)+1)/2)/(sum(y_true)*(count(*)-sum(y_true))), 9) END AS auc
 FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY score) + (count(*) OVER (PARTITION BY {by}, score) - 1)/2 AS ar FROM {src} WHERE score IS NOT NULL AND y_true IS NOT NULL) GROUP BY {by})"""
 
 
 _K = "topic, masking, method, run, split"
 
 
-@query(f"WITH {P}, {_auc_sql('p', _K)} SELECT *, {_RATIOS} FROM (SELECT {_K}, {_CONF} FROM p WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY {_K}) LEFT JOIN (SELECT {_K}, auc FROM a) USING ({_K})")
+@query(f"WITH {P}, {_auc_sql('p', _K)} SELECT * REPLACE (coalesce(auc, 0.5) AS auc), {_RATIOS} FROM (SELECT {_K}, {_CONF} FROM p WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY {_K}) LEFT JOIN (SELECT {_K}, auc FROM a) USING ({_K})")
 def flagship_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E3 of every run and split, redeliveries removed."""
     return M.metrics(predictions(spark, sf_dir), KEY)
 
 
-@query(f"WITH {P} SELECT {_K}, {_CONF}, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM p WHERE aligned = 1 GROUP BY {_K}")
+@query(f"WITH {P} SELECT {_K}, {_CONF}, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM p WHERE aligned = 1 GROUP BY {_K}")
 def e05_aligned_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).where("aligned = 1")
     n = lambda t, q: F.count_if((F.col("y_true") == t) & (F.col("y_pred") == q))
-    return p.groupBy(*KEY).agg(n(1, 1).alias("tp"), n(1, 0).alias("fn"), n(0, 1).alias("fp"), n(0, 0).alias("tn"), F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 4).alias("accuracy"))
+    return p.groupBy(*KEY).agg(n(1, 1).alias("tp"), n(1, 0).alias("fn"), n(0, 1).alias("fp"), n(0, 0).alias("tn"), F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 9).alias("accuracy"))
 
 
 _ROC = """s AS (SELECT topic, masking, method, run, score, sum(y_true) AS pos, sum(1-y_true) AS neg FROM bp WHERE split='train' AND score IS NOT NULL GROUP BY ALL),
@@ -107,7 +107,7 @@ def _acc_sql(ends: bool) -> str:
 mid AS (SELECT topic, masking, method, run, (x + lead(x) OVER (PARTITION BY topic, masking, method, run ORDER BY x))/2 AS t FROM x),
 cc AS (SELECT * FROM mid WHERE t IS NOT NULL {more}),
 ac AS (SELECT topic, masking, method, run, t, sum(CASE WHEN (score > t) = (y_true = 1) THEN 1 ELSE 0 END) AS good, count(*) AS n FROM cc JOIN o USING (topic, masking, method, run) GROUP BY ALL)
-SELECT topic, masking, method, run, round(t, 9) AS threshold, round(good/n, 4) AS acc FROM (SELECT *, row_number() OVER (PARTITION BY topic, masking, method, run ORDER BY good DESC, t) AS o1 FROM ac) WHERE o1=1"""
+SELECT topic, masking, method, run, round(t, 9) AS threshold, round(good/n, 9) AS acc FROM (SELECT *, row_number() OVER (PARTITION BY topic, masking, method, run ORDER BY good DESC, t) AS o1 FROM ac) WHERE o1=1"""
 
 
 @query(_acc_sql(True))
@@ -133,7 +133,7 @@ _D = lambda *p: "('0x' || substr(md5(concat_ws('|', " + ", ".join(p) + ")), 1, 8
 @query(f"""WITH {BASE}, g AS (SELECT topic, masking, method, run, count(*) AS n, sum(CASE WHEN y_true=y_pred THEN 1 ELSE 0 END) AS k FROM bp WHERE split='test' AND aligned=1 AND masking='original' GROUP BY ALL),
 h AS (SELECT topic, masking, method, run, n, k, rep, sum(CASE WHEN {_D("'1'", 'topic', 'masking', 'method', 'run', 'rep', 'i')} % n < k THEN 1 ELSE 0 END) AS h FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, 100)) AS rep FROM g)) GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY topic, masking, method, run ORDER BY h, rep)-1 AS o FROM h)
-SELECT topic, masking, method, run, n, round(k/n, 4) AS acc, round(max(CASE WHEN o=2 THEN h/n END), 4) AS lo, round(max(CASE WHEN o=97 THEN h/n END), 4) AS hi FROM o GROUP BY topic, masking, method, run, n, k""")
+SELECT topic, masking, method, run, n, round(k/n, 9) AS acc, round(max(CASE WHEN o=2 THEN h/n END), 9) AS lo, round(max(CASE WHEN o=97 THEN h/n END), 9) AS hi FROM o GROUP BY topic, masking, method, run, n, k""")
 def b01_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1 AND masking = 'original'")
     return B.bootstrap(p.withColumn("ok", (F.col("y_true") == F.col("y_pred"))), RUN, ["pair"], "ok", b=100)
@@ -149,12 +149,12 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRED = f"""{BASE}, e AS (SELECT topic, masking, pair, method, y_true, y_true=y_pred AS ok FROM bp WHERE split='test' AND aligned=1 AND run=1),
 j AS (SELECT x.topic, x.masking, x.method AS a, y.method AS b, x.ok AS ok_a, y.ok AS ok_b FROM e x JOIN e y ON x.topic=y.topic AND x.masking=y.masking AND x.pair=y.pair AND x.method<y.method AND x.y_true=y.y_true),
-g AS (SELECT topic, masking, a, b, count(*) AS n, count_if(ok_a) AS ra, count_if(ok_b) AS rb, count_if(ok_a<>ok_b)::BIGINT AS d FROM j GROUP BY ALL)"""
+g AS (SELECT topic, masking, a, b, count(*) AS n, count_if(ok_a)::BIGINT AS ra, count_if(ok_b)::BIGINT AS rb, count_if(ok_a<>ok_b)::BIGINT AS d FROM j GROUP BY ALL)"""
 _ART = f"""{_PAIRED}, f AS (SELECT *, abs(ra-rb) AS s FROM g),
 ex AS (SELECT topic, masking, a, b, n, ra, rb, d, avg(CASE WHEN abs(d-2*bit_count(m)) >= s THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT *, unnest(range(0, (1::BIGINT << d::BIGINT))) AS m FROM f WHERE d<=12) GROUP BY ALL),
 st AS (SELECT topic, masking, a, b, n, ra, rb, d, s, rep, abs(sum(1-2*({_D("'1'", 'topic', 'masking', 'a', 'b', 'rep', 'i')} % 2))) AS t FROM (SELECT *, unnest(range(0, d)) AS i FROM (SELECT *, unnest(range(0, 200)) AS rep FROM f WHERE d>12)) GROUP BY ALL),
-ap AS (SELECT topic, masking, a, b, n, ra, rb, d, (count_if(t>=s)+1)/201 AS p FROM st GROUP BY ALL),
-art AS (SELECT topic, masking, a, b, n, round(ra/n, 4) AS acc_a, round(rb/n, 4) AS acc_b, round(p, 6) AS p, CASE WHEN p<0.001 THEN '***' WHEN p<0.01 THEN '**' WHEN p<0.05 THEN '*' ELSE '=' END AS stars FROM (FROM ex UNION ALL FROM ap))"""
+ap AS (SELECT topic, masking, a, b, n, ra, rb, d, (count_if(t>=s)::BIGINT+1)/201 AS p FROM st GROUP BY ALL),
+art AS (SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, round(p, 6) AS p, CASE WHEN p<0.001 THEN '***' WHEN p<0.01 THEN '**' WHEN p<0.05 THEN '*' ELSE '=' END AS stars FROM (FROM ex UNION ALL FROM ap))"""
 
 
 @query(f"WITH {_ART} SELECT * FROM art")
@@ -162,9 +162,9 @@ def b02_paired_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.paired_randomization(_paired(spark, sf_dir), ["topic", "masking"], r=200)
 
 
-@query(f"WITH {_PAIRED} SELECT topic, masking, a, b, n, round(ra/n, 4) AS acc_a, round(rb/n, 4) AS acc_b, d FROM g")
+@query(f"WITH {_PAIRED} SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, d FROM g")
 def r21_aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _paired(spark, sf_dir).groupBy("topic", "masking", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok_a").cast("double")), 4).alias("acc_a"), F.round(F.avg(F.col("ok_b").cast("double")), 4).alias("acc_b"), F.count_if(F.col("ok_a") != F.col("ok_b")).alias("d"))
+    g = _paired(spark, sf_dir).groupBy("topic", "masking", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok_a").cast("double")), 9).alias("acc_a"), F.round(F.avg(F.col("ok_b").cast("double")), 9).alias("acc_b"), F.count_if(F.col("ok_a") != F.col("ok_b")).alias("d"))
     return g
 
 
@@ -176,7 +176,7 @@ m AS (SELECT masking, method, target, min(source) AS sa, max(source) AS sb FROM
 w AS (SELECT v.*, CASE WHEN source=sa THEN 'a' ELSE 'b' END AS g FROM v JOIN m USING (masking, method, target) WHERE source IN (sa, sb)),
 x AS (SELECT *, count_if(g='a') OVER (PARTITION BY masking, method, target, rep, stratum) AS na, row_number() OVER (PARTITION BY masking, method, target, rep, stratum ORDER BY {_D("'1'", 'rep', 'id')}, id) AS pos FROM (SELECT *, unnest(range(0, 50)) AS rep FROM w)),
 y AS (SELECT masking, method, target, rep, round(abs(avg(CASE WHEN g='a' THEN ok::DOUBLE END)-avg(CASE WHEN g='b' THEN ok::DOUBLE END)), 9) AS real, round(abs(avg(CASE WHEN pos<=na THEN ok::DOUBLE END)-avg(CASE WHEN pos>na THEN ok::DOUBLE END)), 9) AS drawn FROM x GROUP BY ALL)
-SELECT masking, method, target, round(max(real), 6) AS diff, round((count_if(drawn>=real)+1)/51, 6) AS p FROM y GROUP BY ALL""")
+SELECT masking, method, target, round(max(real), 6) AS diff, round((count_if(drawn>=real)::BIGINT+1)/51, 6) AS p FROM y GROUP BY ALL""")
 def b03_stratified_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last source of each cross-topic target, compared within runs."""
     c = r"^([a-z]+)2([a-z]+)$"
@@ -197,7 +197,7 @@ def r22_dedupe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT *, row_id - row_number() OVER (PARTITION BY topic, masking, method, run, sp ORDER BY row_id) AS island FROM o),
 b AS (SELECT topic, masking, method, run, sp AS split, island, min(row_id) AS first, max(row_id) AS last, count(*) AS n, avg(CASE WHEN y_true=y_pred THEN 1.0 ELSE 0.0 END) AS acc FROM i GROUP BY ALL),
 c AS (SELECT b.*, row_number() OVER (PARTITION BY topic, masking, method, run, split ORDER BY CASE WHEN abs(b.acc-r.acc) < 0.0005 THEN 0 ELSE 1 END, last DESC) AS o, count(*) OVER (PARTITION BY topic, masking, method, run, split) AS blocks FROM b LEFT JOIN (SELECT topic, masking, method, run, acc FROM r) r USING (topic, masking, method, run))
-SELECT topic, masking, method, run, split, first, last, n, blocks, round(acc, 4) AS acc FROM c WHERE o=1""")
+SELECT topic, masking, method, run, split, first, last, n, blocks, round(acc, 9) AS acc FROM c WHERE o=1""")
 def r23_dedupe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous blocks of each key (gaps and islands); the last block whose accuracy is the recorded one, else the last."""
     o = table(spark, sf_dir, "predictions").select("row_id", "topic", "masking", method_key("model").alias("method"), "run", split_key("split").alias("split"), (F.col("y_true") == F.col("y_pred")).cast("double").alias("ok"))
@@ -206,7 +206,7 @@ def r23_dedupe_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = runs(spark, sf_dir).select(*RUN, F.col("acc").alias("ref"))
     j = b.join(ref, RUN, "left").withColumn("near", F.when(F.abs(F.col("acc") - F.col("ref")) < 0.0005, 0).otherwise(1))
     best = j.groupBy(*KEY).agg(F.min_by(F.struct("first", "last", "n", "acc"), F.struct("near", -F.col("last"))).alias("b"), F.count(F.lit(1)).alias("blocks"))
-    return best.select(*KEY, "b.first", "b.last", "b.n", "blocks", F.round("b.acc", 4).alias("acc"))
+    return best.select(*KEY, "b.first", "b.last", "b.n", "blocks", F.round("b.acc", 9).alias("acc"))
 
 
 @query(f"WITH {R} SELECT topic, masking, method, run, acc, auc FROM (SELECT *, row_number() OVER (PARTITION BY topic, masking, method ORDER BY acc, auc, run) AS o, count(*) OVER (PARTITION BY topic, masking, method) AS c FROM r WHERE acc IS NOT NULL AND auc IS NOT NULL) WHERE o = (c + 1) // 2")
@@ -230,7 +230,7 @@ def a04_cross_domain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STAT = "round(avg({0}), 9) AS {0}_mean, round(coalesce(stddev_pop({0}), 0), 9) AS {0}_sd"
 
 
-@query(rf"WITH {_ART.replace(BASE, BASE + ', ' + R)} , s AS (SELECT topic AS domain, masking, method, count(*) AS n_splits, {', '.join(_STAT.format(x) for x in ('acc', 'f1', 'auc'))} FROM r WHERE NOT regexp_matches(topic, '2|__') GROUP BY ALL), q AS (SELECT topic AS domain, masking, m AS method, count_if(p < 0.05) AS sig_pairs, count(*) AS n_pairs, min(p) AS p_min FROM (SELECT topic, masking, a AS m, p FROM art UNION ALL SELECT topic, masking, b, p FROM art) GROUP BY ALL) SELECT s.*, coalesce(sig_pairs, 0) AS sig_pairs, coalesce(n_pairs, 0) AS n_pairs, p_min FROM s LEFT JOIN q USING (domain, masking, method)")
+@query(rf"WITH {_ART.replace(BASE, BASE + ', ' + R)} , s AS (SELECT topic AS domain, masking, method, count(*) AS n_splits, {', '.join(_STAT.format(x) for x in ('acc', 'f1', 'auc'))} FROM r WHERE NOT regexp_matches(topic, '2|__') GROUP BY ALL), q AS (SELECT topic AS domain, masking, m AS method, count_if(p < 0.05)::BIGINT AS sig_pairs, count(*) AS n_pairs, min(p) AS p_min FROM (SELECT topic, masking, a AS m, p FROM art UNION ALL SELECT topic, masking, b, p FROM art) GROUP BY ALL) SELECT s.*, coalesce(sig_pairs, 0) AS sig_pairs, coalesce(n_pairs, 0) AS n_pairs, p_min FROM s LEFT JOIN q USING (domain, masking, method)")
 def a01_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = ["domain", "masking", "method"]
     r = runs(spark, sf_dir).where(~F.col("topic").rlike("2|__")).withColumnRenamed("topic", "domain")

@@ -52,15 +52,15 @@ def f02_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.counts(tok(spark, sf_dir), "tag")
 
 
-@query(rf"WITH {_TOK}, w AS (SELECT *, length(token) AS n FROM t WHERE tag NOT IN ('NUM', 'PUNCT', 'SYM')) SELECT doc_id, count(*) AS words, count(DISTINCT low) AS types, round(sum(n)/count(*), 6) AS avg_length, round(count_if(n<5)/count(*), 6) AS short_ratio, round(count_if(n>=8)/count(*), 6) AS long_ratio, round(count_if(n>=5 AND regexp_matches(token, '^\p{{Lu}}'))/count(*), 6) AS capital_ratio, round(count(DISTINCT low)/count(*), 6) AS type_ratio FROM w GROUP BY doc_id")
+@query(rf"WITH {_TOK}, w AS (SELECT *, length(token) AS n FROM t WHERE tag NOT IN ('NUM', 'PUNCT', 'SYM')) SELECT doc_id, count(*) AS words, count(DISTINCT low) AS types, round(sum(n)/count(*), 9) AS avg_length, round(count_if(n<5)::BIGINT/count(*), 9) AS short_ratio, round(count_if(n>=8)::BIGINT/count(*), 9) AS long_ratio, round(count_if(n>=5 AND regexp_matches(token, '^\p{{Lu}}'))::BIGINT/count(*), 9) AS capital_ratio, round(count(DISTINCT low)/count(*), 9) AS type_ratio FROM w GROUP BY doc_id")
 def f03_word_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.word_properties(tok(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, greatest(1, len({sql_sents('text')})) AS sentences, round(len(regexp_extract_all(text, '{_TOKEN}')) / greatest(1, len({sql_sents('text')})), 6) AS mean_length FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, greatest(1, len({sql_sents('text')})) AS sentences, round(len(regexp_extract_all(text, '{_TOKEN}')) / greatest(1, len({sql_sents('text')})), 9) AS mean_length FROM documents WHERE text IS NOT NULL")
 def f05_sentence_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.greatest(F.lit(1), F.size(T.sentences("text")))
-    return docs(spark, sf_dir).select("doc_id", s.alias("sentences"), F.round(F.size(T.tokens("text")) / s, 6).alias("mean_length"))
+    return docs(spark, sf_dir).select("doc_id", s.alias("sentences"), F.round(F.size(T.tokens("text")) / s, 9).alias("mean_length"))
 
 
 @query(f"WITH {_TOK} SELECT doc_id, low AS feature, count(*) AS n FROM t WHERE low IN ({_FW}) GROUP BY ALL")
@@ -80,7 +80,7 @@ def f07_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPEC = r"s AS (SELECT doc_id, i, count(*) AS f FROM (SELECT doc_id, low, count(*) AS i FROM t WHERE regexp_matches(token, '\p{L}') GROUP BY ALL) GROUP BY ALL)"
 
 
-@query(f"WITH {_TOK}, {_SPEC}, g AS (SELECT doc_id, sum(i*f) AS n, sum(f) AS v, sum(i*i*f) AS m2, sum(CASE WHEN i=1 THEN f ELSE 0 END) AS v1, sum(CASE WHEN i=2 THEN f ELSE 0 END) AS v2 FROM s GROUP BY doc_id) SELECT doc_id, round(CASE WHEN m2>v THEN v*v/(m2-v) ELSE 0.0 END, 6) AS yule_i, round(v1/n, 6) AS hapax, round(v2/n, 6) AS dis FROM g")
+@query(f"WITH {_TOK}, {_SPEC}, g AS (SELECT doc_id, sum(i*f) AS n, sum(f) AS v, sum(i*i*f) AS m2, sum(CASE WHEN i=1 THEN f ELSE 0 END) AS v1, sum(CASE WHEN i=2 THEN f ELSE 0 END) AS v2 FROM s GROUP BY doc_id) SELECT doc_id, round(CASE WHEN m2>v THEN v*v/(m2-v) ELSE 0.0 END, 9) AS yule_i, round(v1/n, 9) AS hapax, round(v2/n, 9) AS dis FROM g")
 def f09_yule_hapax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.yule_hapax(tok(spark, sf_dir))
 
@@ -98,20 +98,20 @@ def f11_readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.readability(docs(spark, sf_dir))
 
 
-@query(f"WITH {_TOK} SELECT doc_id, sum(length(token))::BIGINT AS chars, round(sum(length(token))/count(*), 6) AS avg_chars, " + ", ".join(f"round(count_if(length(token)={k})/count(*), 6) AS len_{k}" for k in range(1, 11)) + " FROM t GROUP BY doc_id")
+@query(f"WITH {_TOK} SELECT doc_id, sum(length(token))::BIGINT AS chars, round(sum(length(token))/count(*), 9) AS avg_chars, " + ", ".join(f"round(count_if(length(token)={k})::BIGINT/count(*), 9) AS len_{k}" for k in range(1, 11)) + " FROM t GROUP BY doc_id")
 def f15_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.length_histogram(tok(spark, sf_dir))
 
 
-@query(f"WITH {_TOK}, g AS (SELECT doc_id, tag, count(DISTINCT low) AS types, avg(length(token)) AS len FROM t GROUP BY ALL) SELECT doc_id, tag, round(types / sum(types) OVER (PARTITION BY doc_id), 6) AS share, round(len, 6) AS avg_length FROM g")
+@query(f"WITH {_TOK}, g AS (SELECT doc_id, tag, count(DISTINCT low) AS types, avg(length(token)) AS len FROM t GROUP BY ALL) SELECT doc_id, tag, round(types / sum(types) OVER (PARTITION BY doc_id), 9) AS share, round(len, 9) AS avg_length FROM g")
 def f18_tag_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = tok(spark, sf_dir).groupBy("doc_id", "tag", "low").agg(F.sum(F.length("token")).alias("c"), F.count(F.lit(1)).alias("n"))
     g = types.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("types"), (F.sum("c") / F.sum("n")).alias("len"))
-    return g.select("doc_id", "tag", F.round(F.col("types") / F.sum("types").over(Window.partitionBy("doc_id")), 6).alias("share"), F.round("len", 6).alias("avg_length"))
+    return g.select("doc_id", "tag", F.round(F.col("types") / F.sum("types").over(Window.partitionBy("doc_id")), 9).alias("share"), F.round("len", 9).alias("avg_length"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_transform({sql_sents('text')}, lambda s: len(regexp_extract_all(s, '{_TOKEN}'))) AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, l, unnest(range(3, least(69, greatest(3, list_max(l))) + 1)) AS i FROM l WHERE len(l) > 0)
-SELECT doc_id, i::INT AS i, round(len(list_filter(l, lambda x: x >= i)) / len(l), 6) AS share FROM e WHERE len(list_filter(l, lambda x: x >= i)) > 0""")
+SELECT doc_id, i::INT AS i, round(len(list_filter(l, lambda x: x >= i)) / len(l), 9) AS share FROM e WHERE len(list_filter(l, lambda x: x >= i)) > 0""")
 def f20_sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.sentence_lengths(docs(spark, sf_dir))
 
@@ -126,7 +126,7 @@ def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 _GRAMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL), nd AS (SELECT count(*) AS nd FROM w),
 c AS (SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) AS feature FROM w) GROUP BY ALL),
-v AS (SELECT feature, count(*) AS df, sum(n) AS total, ln((1.0::DOUBLE + any_value(nd)) / (1 + count(*))) + 1 AS idf FROM c, nd GROUP BY feature HAVING count(*) >= 0.1::DOUBLE * any_value(nd)),
+v AS (SELECT feature, count(*) AS df, sum(n)::BIGINT AS total, ln((1.0::DOUBLE + any_value(nd)) / (1 + count(*))) + 1 AS idf FROM c, nd GROUP BY feature HAVING count(*) >= 0.1::DOUBLE * any_value(nd)),
 x AS (SELECT doc_id, feature, n * idf AS value FROM c JOIN v USING (feature)),
 y AS (SELECT doc_id, feature, value / sqrt(sum(value*value) OVER (PARTITION BY doc_id)) AS value FROM x)"""
 
