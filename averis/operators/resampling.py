@@ -19,6 +19,12 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("=")
 
 
+def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that are about to be multiplied, in a fixed number of partitions: by their present size they would be
+    coalesced into one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def bootstrap(df: DataFrame, by: list[str], order: list[str], correct: str, b: int = 1000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """n, acc and percentile interval (lo, hi) of the accuracy over ``b`` resamples of each group.
 
@@ -27,7 +33,7 @@ def bootstrap(df: DataFrame, by: list[str], order: list[str], correct: str, b: i
     No case is joined to its draws; a group is expanded to b x n hashes within its task and summed at once."""
     g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("bigint")).alias("k"))
     key = F.concat_ws("|", F.lit(str(seed)), *by)
-    reps = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    reps = _dealt(g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))), [*by, "rep"])
     each = reps.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
     hits = each.select(*by, "n", "k", "rep", (F.pmod(draw(key, F.col("rep"), F.col("i")), F.col("n")) < F.col("k")).cast("bigint").alias("h"))
     accs = hits.groupBy(*by, "n", "k", "rep").agg(F.sum("h").alias("h"))
@@ -50,7 +56,7 @@ def paired_randomization(pairs: DataFrame, by: list[str], a: str = "a", b: str =
     exact = g.where(F.col("d") <= exact_threshold).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(1 << exact_threshold))))
     exact = exact.where(F.expr("m < shiftleft(1, cast(d AS int))")).groupBy(*keys, "n", "ra", "rb", "d").agg((F.avg((F.abs(F.col("d") - 2 * F.bit_count("m")) >= F.col("s")).cast("double"))).alias("p"))
     key = F.concat_ws("|", F.lit(str(seed)), *keys)
-    many = g.where(F.col("d") > exact_threshold).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
+    many = _dealt(g.where(F.col("d") > exact_threshold).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))), [*keys, "rep"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
     signs = many.select(*keys, "n", "ra", "rb", "d", "s", "rep", (1 - 2 * F.pmod(draw(key, F.col("rep"), F.col("i")), F.lit(2))).alias("e"))
     stat = signs.groupBy(*keys, "n", "ra", "rb", "d", "s", "rep").agg(F.abs(F.sum("e")).alias("_stat"))
     approx = stat.groupBy(*keys, "n", "ra", "rb", "d").agg(((F.count_if(F.col("_stat") >= F.col("s")) + 1) / (r + 1)).alias("p"))

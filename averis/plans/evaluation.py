@@ -11,7 +11,7 @@ from averis.operators import metrics as M
 from averis.operators import resampling as B
 from averis.operators.dedup import deduplicated
 from averis.plans.delivery import _METHOD, _SPLIT, prediction_keys, run_keys, sql_pair
-from averis.session import table
+from averis.session import store, table
 
 RUN = ["topic", "masking", "method", "run"]
 KEY = [*RUN, "split"]
@@ -67,7 +67,7 @@ _K = "topic, masking, method, run, split"
 @query(f"WITH {P}, {_auc_sql('p', _K)} SELECT * REPLACE (coalesce(auc, 0.5) AS auc), {_RATIOS} FROM (SELECT {_K}, {_CONF} FROM p WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY {_K}) LEFT JOIN (SELECT {_K}, auc FROM a) USING ({_K})")
 def flagship_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E3 of every run and split, redeliveries removed."""
-    return M.metrics(predictions(spark, sf_dir), KEY)
+    return M.metrics(store(predictions(spark, sf_dir).select(*KEY, "y_true", "y_pred", "score"), "preds"), KEY)
 
 
 @query(f"WITH {P} SELECT {_K}, {_CONF}, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM p WHERE aligned = 1 GROUP BY {_K}")
@@ -94,7 +94,7 @@ def t01_eer_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE}, {_ROC}, u AS (SELECT bp.topic, bp.masking, bp.method, bp.run, y_true, CASE WHEN score >= threshold THEN 1 ELSE 0 END AS y_pred FROM bp JOIN t USING (topic, masking, method, run) WHERE split='test' AND score IS NOT NULL) SELECT *, {_RATIOS} FROM (SELECT topic, masking, method, run, {_CONF} FROM u GROUP BY ALL)")
 def t01_eer_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold fitted on train scores, applied to test, per corpus and run (no leakage between groups)."""
-    p = base_preds(spark, sf_dir)
+    p = store(base_preds(spark, sf_dir), "preds")
     t = M.eer_threshold(p.where("split = 'train'"), RUN)
     hit = M.decide(p.where("split = 'test' AND score IS NOT NULL"), t, RUN).where("y_hat IS NOT NULL")
     return M.confusion(hit.drop("y_pred").withColumnRenamed("y_hat", "y_pred"), RUN)
@@ -140,7 +140,7 @@ def b01_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1 AND run = 1")
+    p = store(base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1 AND run = 1").select("topic", "masking", "pair", "method", "y_true", "y_pred"), "preds")
     a = p.select("topic", "masking", "pair", F.col("method").alias("a"), F.col("y_true").alias("ya"), (F.col("y_true") == F.col("y_pred")).alias("ok_a"))
     b = p.select("topic", "masking", "pair", F.col("method").alias("b"), F.col("y_true").alias("yb"), (F.col("y_true") == F.col("y_pred")).alias("ok_b"))
     # methods meet only on their common pair; there are ten methods, so a pair has at most 45 of these rows

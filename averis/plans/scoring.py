@@ -17,7 +17,7 @@ from averis.operators import vectorize as V
 from averis.plans.corpora import cases
 from averis.plans.evaluation import RUN, base_preds
 from averis.plans.vectors import _counted
-from averis.session import table
+from averis.session import store, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,7 +31,8 @@ def query(f):
 @query
 def m04_coav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1-M4: compression distance of every case, both whole texts."""
-    c = table(spark, sf_dir, "read_corpus_sorted").select("case_id", "masking", "topic", "known", "unknown", "label").repartition(spark.sparkContext.defaultParallelism * 4, "case_id")
+    c = table(spark, sf_dir, "read_corpus_sorted").select("case_id", "masking", "topic", "known", "unknown", "label")
+    c = c.repartition(max(c.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * 4))  # small even tasks: the cost of a row is the length of its texts
     return c.select("case_id", "masking", "topic", F.col("label").cast("int").alias("y_true"), S.coav(F.col("known"), F.col("unknown")).alias("score"))
 
 
@@ -65,7 +66,7 @@ def m09_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def m09_calibrated_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = base_preds(spark, sf_dir)
+    p = store(base_preds(spark, sf_dir), "preds")
     f = S.calibrate(p.where("split = 'train'"), RUN)
     t = p.where("split = 'test' AND score IS NOT NULL").join(f, RUN)
     y = (F.col("w") * F.col("score") + F.col("b") >= 0).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from averis.functions import text as T
 from averis.functions import udfs as U
-from averis.session import table
+from averis.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "source", "lang", "topic")
+    return spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "source", "topic"))
 
 
 def _r(c: str, p: str, to: str) -> str:

@@ -12,7 +12,7 @@ from averis.operators import vectorize as V
 from averis.operators.corpus import order_key
 from averis.functions import text as T
 from averis.plans.texts import _TOKEN, sql_sents
-from averis.session import store, table
+from averis.session import spread, store, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "topic")
+    return spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "topic"))
 
 
 def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
