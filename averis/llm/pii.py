@@ -73,7 +73,9 @@ PATTERNS = {
 }
 SPOKEN = re.compile(rf"(?<!\w)(?:{_DIGIT})(?: (?:{_DIGIT})){{6,}}(?!\w)", re.I)
 _SPOKEN_HINTS = tuple(f" {d} " for d in _DIGIT.split("|"))
-_ADDRESS_HINT = re.compile(rf"(?i:{_STREET}) \d|\d[ \w]* {_ROAD}")
+_STREET_ENDS = tuple(_STREET[3:-1].replace("\\", "").split("|"))
+_ROAD_WORDS = tuple(" " + x.replace("\\", "").rstrip("?").rstrip(".") for x in _ROAD[3:-1].split("|"))
+_SPACE_DIGIT = re.compile(r" \d")
 _EMAIL_HINT = re.compile(rf" {_AT} \w", re.I)
 _BEFORE = {
     "email": re.compile(r"(?:mail|kontakt|contact|adresse|address|schreib|write|écri|escrib|fragen|questions|邮箱|メール|meldet)", re.I),
@@ -123,6 +125,14 @@ def labels(kind: str, text: str, a: int, b: int) -> str:
     return "".join(v) + "|" + shape
 
 
+def _address_hint(text: str) -> bool:
+    """A number behind a word that ends like a street, or an English street word anywhere: cheap, and never misses a match
+    of the address pattern."""
+    if any(w in text for w in _ROAD_WORDS):
+        return True
+    return any(text[max(0, m.start() - 12) : m.start()].lower().endswith(_STREET_ENDS) for m in _SPACE_DIGIT.finditer(text))
+
+
 def candidates_of(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pattern) of every candidate span."""
     out = []
@@ -130,7 +140,7 @@ def candidates_of(text: str) -> list[tuple[str, int, int, str]]:
     for kind in KINDS:
         if kind == "email" and "@" not in text and not _EMAIL_HINT.search(text):
             continue
-        if kind == "address" and not _ADDRESS_HINT.search(text):
+        if kind == "address" and not _address_hint(text):
             continue
         for m in PATTERNS[kind].finditer(text):
             a, b = m.span()
