@@ -225,3 +225,90 @@ def flagship_embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = embedding_cases(spark, sf_dir).select(F.lit("emb").alias("topic"), F.when(F.col("pos") % 5 < 2, "train").otherwise("test").alias("split"), F.col("label").alias("y_true"), V.cosine(F.col("p"), F.col("q")).alias("score"))
     t = M.eer_threshold(s.where("split = 'train'"), ["topic"])
     return M.metrics(M.decide(s.where("split = 'test'"), t, ["topic"]).withColumnRenamed("y_hat", "y_pred"), ["topic"])
+
+
+# ---- further blocks ----
+#: A tiny misspelling list; any table of words may take its place.
+MISSPELLED = ("wier", "dass", "nähmlich", "standart", "recieve", "teh", "vorraus", "seit")
+_MISS = ", ".join(f"'{w}'" for w in MISSPELLED)
+
+
+@query(f"WITH {_TOK} SELECT doc_id, count_if(low IN ({_MISS}))::BIGINT AS hits, round(count_if(low IN ({_MISS})) / count(*), 9) AS ratio FROM t GROUP BY doc_id")
+def f17_misspelling_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.count_if(F.col("low").isin(*MISSPELLED))
+    return tok(spark, sf_dir).groupBy("doc_id").agg(hit.alias("hits"), F.round(hit / F.count(F.lit(1)), 9).alias("ratio"))
+
+
+@query(rf"""WITH {_TOK} SELECT doc_id, count_if(tag='NOUN')::BIGINT AS nouns, round(count_if(tag='FUNC')/count(*), 9) AS function_ratio, round(sum(CASE WHEN regexp_matches(token, '^\p{{L}}+$') THEN length(token) ELSE 0 END)/greatest(1, count_if(regexp_matches(token, '^\p{{L}}+$'))), 9) AS alpha_length FROM t GROUP BY doc_id""")
+def f19_style_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alpha = F.col("token").rlike(r"^\p{L}+$")
+    return tok(spark, sf_dir).groupBy("doc_id").agg(
+        F.count_if(F.col("tag") == "NOUN").alias("nouns"), F.round(F.count_if(F.col("tag") == "FUNC") / F.count(F.lit(1)), 9).alias("function_ratio"),
+        F.round(F.sum(F.when(alpha, F.length("token")).otherwise(0)) / F.greatest(F.lit(1), F.count_if(alpha)), 9).alias("alpha_length"),
+    )
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tags): the tag of every token, in order, marks and symbols as themselves."""
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", F.transform(T.tokens("text"), lambda t: F.when(FE.tag(t).isin("PUNCT", "SYM"), t).otherwise(FE.tag(t))).alias("tags"), "text")
+
+
+_TAGS = "g0 AS (SELECT doc_id, list(CASE WHEN tag IN ('PUNCT', 'SYM') THEN token ELSE tag END ORDER BY pos) AS w FROM t GROUP BY doc_id), c AS (SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) AS feature FROM g0) GROUP BY ALL)"
+_IDF = "nd AS (SELECT count(*) AS nd FROM documents WHERE text IS NOT NULL), v AS (SELECT feature, ln((1.0::DOUBLE + any_value(nd)) / (1 + count(*))) + 1 AS idf FROM c, nd GROUP BY feature HAVING count(*) >= {} * any_value(nd))"
+
+
+@query(f"WITH {_TOK}, {_TAGS}, {_IDF.format('0.1::DOUBLE')} SELECT doc_id, feature, round(value / sqrt(sum(value*value) OVER (PARTITION BY doc_id)), 6) AS value FROM (SELECT doc_id, feature, n * idf AS value FROM c JOIN v USING (feature))")
+def v02_tag_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tags(spark, sf_dir)
+    c = store(V.counted(t, V.array_grams(F.col("tags"), 1, 2)), "tags")
+    return V.tfidf(c, V.vocabulary(c, t.count())).select("doc_id", "feature", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_TOK}, c AS (SELECT doc_id, token AS feature, count(*) AS n FROM t WHERE token IN ({_MARKS}) GROUP BY ALL), {_IDF.format('0::DOUBLE')} SELECT doc_id, feature, round(n * idf, 6) AS value FROM c JOIN v USING (feature)")
+def v03_special_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed vocabulary of marks, no pruning."""
+    c = store(FE.counts(tok(spark, sf_dir).where(F.col("token").isin(*FE.MARKS)), "token"), "marks")
+    n = docs(spark, sf_dir).count()
+    return V.tfidf(c, V.vocabulary(c, n, min_df=0.0), norm=False).select("doc_id", "feature", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_TOK}, c AS (SELECT doc_id, low AS feature, count(*) AS n FROM t WHERE low IN ({_FW}) GROUP BY ALL), {_IDF.format('0::DOUBLE')}, l AS (SELECT doc_id, count(*) AS l FROM t GROUP BY doc_id) SELECT doc_id, feature, round(n * idf / (1 + l), 9) AS value FROM c JOIN v USING (feature) JOIN l USING (doc_id)")
+def v04_function_word_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tf x idf of function words over one plus the number of tokens, no norm."""
+    t = tok(spark, sf_dir)
+    c = store(FE.counts(t.where(F.col("low").isin(*FE.FUNCTION_WORDS)), "low"), "fw")
+    l = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("l"))
+    v = V.tfidf(c, V.vocabulary(c, docs(spark, sf_dir).count(), min_df=0.0), norm=False)
+    return v.join(l, "doc_id").select("doc_id", "feature", F.round(F.col("value") / (1 + F.col("l")), 9).alias("value"))
+
+
+@query(f"WITH {_TOK} SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, CASE WHEN tag = 'FUNC' THEN low ELSE tag END AS feature FROM t) GROUP BY ALL")
+def v05_masked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function words as themselves, everything else as its tag."""
+    return FE.counts(tok(spark, sf_dir).withColumn("m", F.when(F.col("tag") == "FUNC", F.col("low")).otherwise(F.col("tag"))), "m")
+
+
+@query(f"WITH {_EMB}, l AS (SELECT x, y, unnest(range(1, 65)) AS i, unnest(list_transform(range(1, 65), lambda i: abs(p[i]::DOUBLE - q[i]::DOUBLE))) AS d FROM k), s AS (SELECT i, avg(d) AS m, stddev_pop(d) AS sd FROM l GROUP BY i) SELECT x, y, round(sum((d - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END), 6) AS total FROM l JOIN s USING (i) GROUP BY x, y")
+def v11_scaled_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second scaler, fitted on |x1 - x2|."""
+    c = embedding_cases(spark, sf_dir).select("x", "y", F.posexplode(F.zip_with("p", "q", lambda a, b: F.abs(a.cast("double") - b.cast("double")))).alias("i", "d"))
+    s = c.groupBy("i").agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("sd"))
+    z = (F.col("d") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
+    return c.join(F.broadcast(s), "i").groupBy("x", "y").agg(F.round(F.sum(z), 6).alias("total"))
+
+
+@query("WITH e AS (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS v, vec_id % 3 AS chunk FROM embeddings), c AS (SELECT label, chunk, dim, avg(v) AS v FROM e GROUP BY ALL) SELECT label, dim, round(avg(v), 6) AS v FROM c GROUP BY ALL")
+def p04_mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over the vectors of a chunk, then over the chunks of an author."""
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("chunk"), F.posexplode("embedding").alias("dim", "v"))
+    c = e.groupBy("label", "chunk", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return c.groupBy("label", "dim").agg(F.round(F.avg("v"), 6).alias("v"))
+
+
+@query("SELECT vec_id, 66 AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM embeddings")
+def p06_concatenated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit-length embedding with two style values behind it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.l2_normalized(F.col("embedding")).alias("u"), F.array(F.lit(0.5), F.col("label").cast("double")).alias("s"))
+    both = F.concat("u", "s")
+    return e.select("vec_id", F.size(both).alias("width"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
