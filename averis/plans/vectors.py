@@ -68,12 +68,15 @@ def f06_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FE.counts(tok(spark, sf_dir).where(F.col("low").isin(*FE.FUNCTION_WORDS)), "low")
 
 
-@query(None)
+_TERMS = list(dict.fromkeys([*FE.PHRASES, *[x for pair in FE.CONTRACTIONS for x in pair]]))
+_COUNTS = ", ".join("len(regexp_extract_all(x, '(?:^|[^\\p{L}\\p{N}_])" + p.replace(" ", "  ") + "(?:$|[^\\p{L}\\p{N}_])'))::INT" for p in _TERMS)
+
+
+@query("SELECT doc_id, feature, n FROM (SELECT doc_id, unnest([" + ", ".join(f"'{p}'" for p in _TERMS) + f"]) AS feature, unnest([{_COUNTS}]) AS n FROM (SELECT doc_id, regexp_replace(lower(text), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') AS x FROM documents WHERE text IS NOT NULL)) WHERE n > 0")
 def f07_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and expanded contractions as whole words, not overlapping."""
     d = docs(spark, sf_dir)
-    terms = [*FE.PHRASES, *[x for pair in FE.CONTRACTIONS for x in pair]]
-    n = [F.struct(F.lit(p).alias("feature"), F.regexp_count(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])")).alias("n")) for p in dict.fromkeys(terms)]
+    n = [F.struct(F.lit(p).alias("feature"), F.regexp_count(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])")).alias("n")) for p in _TERMS]
     return d.select("doc_id", F.inline(F.array(*n))).where("n > 0")
 
 
