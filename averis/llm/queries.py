@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from averis.functions.names import pair_key, pair_side, speaker_key, split_key
 from averis.llm import distinct, leakage, lookalike, packing, pieces, pii, reading, sentences, splits
+from averis.plans.delivery import _SPLIT, sql_side
 from averis.session import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -140,3 +143,35 @@ s AS (SELECT term, sum(tf) AS g, sum(tf * log2(tf)) AS s FROM c GROUP BY term)
 SELECT case_id, side, term, tf, round(log2(1 + tf) * greatest(0, 1 - (log2(g) - s / g) / n), 6) AS weight FROM c JOIN s USING (term), n""",
     "p5_found": f"SELECT case_id, side FROM {_SIDES} WHERE length(text) > 3000",
 }
+
+
+def _form_sql(c: str) -> str:
+    """The form of problem 10 by table alone: equal exactly where the spelled forms are."""
+    pairs = []
+    for code in [*range(0xA0, 0x3100), *range(0xFF00, 0xFFF0)]:
+        to = unicodedata.normalize("NFC", lookalike.PROTO[code])
+        if len(to) == 1 and to != chr(code) and unicodedata.normalize("NFC", chr(code)) == chr(code) and not unicodedata.combining(chr(code)):
+            pairs.append((chr(code), to))
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        c = f"replace({c}, '{a}', '{b}')"
+    c = f"regexp_replace({c}, '[\\p{{Cf}}\\x{{34f}}\\x{{115f}}\\x{{1160}}\\x{{3164}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g')"
+    quote = lambda s: s.replace("'", "''")
+    c = f"nfc_normalize(translate(translate({c}, chr(9), ' '), '{quote(''.join(a for a, _ in pairs))}', '{quote(''.join(b for _, b in pairs))}'))"
+    return f"trim(regexp_replace(regexp_replace({c}, ' *\\n *', chr(10), 'g'), ' {{2,}}', ' ', 'g'), ' ')"
+
+
+_DOC_FORMS = f"f AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL)"
+SQL["p10_found"] = f"WITH {_DOC_FORMS} SELECT a.doc_id AS doc_lo, b.doc_id AS doc_hi FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_GRAM = "SELECT DISTINCT {0}, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, greatest(1, len(w) - 10))) AS i FROM {1})"
+SQL["p9_found"] = f"""WITH {_DOC_FORMS}, dw AS (SELECT doc_id, {_WORDS.format('form')} AS w FROM f), iw AS (SELECT item_id, {_WORDS.format(_form_sql('text'))} AS w FROM heldout_items WHERE text IS NOT NULL),
+ig AS ({_GRAM.format('item_id', 'iw')}), dg AS ({_GRAM.format('doc_id', 'dw')}) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+_SPEAKER = lambda c, n: f"lower(coalesce(nullif(trim(regexp_replace(nfc_normalize({c}), '[\\s\\x{{a0}}]+', ' ', 'g')), ''), {sql_side('pair', n)}))"
+SQL["p1_found"] = f"""WITH RECURSIVE k AS MATERIALIZED (SELECT DISTINCT case_id, unnest(list_concat(['s:' || {_SPEAKER('known_author', 1)}, 's:' || {_SPEAKER('unknown_author', 2)}], list_transform(list_concat(coalesce(known_videos, []), coalesce(unknown_videos, [])), lambda v: 'v:' || v))) AS key FROM read_corpus_sorted),
+e AS MATERIALIZED (SELECT DISTINCT a.case_id AS x, b.case_id AS y FROM k a JOIN k b USING (key)),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x AS case_id, min(y) AS root FROM r GROUP BY x),
+p AS (SELECT lower({sql_side('pair', 1)}) AS a, lower({sql_side('pair', 2)}) AS b, {_SPLIT} AS s FROM (SELECT DISTINCT pair, split FROM predictions)),
+q AS (SELECT a, b, bool_or(s = 'train') AS tr, bool_or(s = 'test') AS te FROM p WHERE a <> '' GROUP BY ALL),
+j AS (SELECT root, bool_or(tr) AS tr, bool_or(te) AS te FROM c JOIN read_corpus_sorted USING (case_id) JOIN q ON q.a = lower({sql_side('pair', 1)}) AND q.b = lower({sql_side('pair', 2)}) GROUP BY root)
+SELECT case_id FROM c JOIN j USING (root) WHERE tr AND te"""
