@@ -104,7 +104,7 @@ def features(prev: str, before: str, nxt: str, tagged: bool) -> tuple[str, ...]:
     f = ["bias", "next=" + ns, "kind=" + kind, f"{kind}|{ns}", "inner" if "." in low.strip(".") else "plain"]
     if tagged:
         f = ["tagged " + x for x in f]
-        f += ["tagged|comma" if before.endswith(",") else "tagged|", "tagged|abbr" if re.fullmatch(r"[ANV]\.,?", nxt) else "tagged|-"]
+        f += ["tagged|comma" if before.endswith(",") else "tagged|", "tagged|chain" if re.fullmatch(r"[ANV]\.", before) else "tagged|-"]
     else:
         f += ["known" if known else "new", f"known={known}|{ns}"]
         if single:
@@ -234,7 +234,7 @@ def _label(prev: str, before: str, nxt: str, tagged: bool, given: int | None) ->
     if ns in ("lower", "punct"):
         return 0
     if tagged:
-        if ns == "digit" or re.fullmatch(r"[ANV]\.,?", nxt) or before.endswith(","):
+        if ns == "digit" or re.fullmatch(r"[ANV]\.", before) or before.endswith(","):
             return 0
         return 1 if ns == "upper" and len(low) == 1 else None
     if len(low) == 1 and low == prev and before[-1:].isdigit() and ns == "upper":
