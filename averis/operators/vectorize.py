@@ -104,3 +104,17 @@ def combine(a: Column, b: Column, how: str = "diffabs") -> Column:
 def l2_normalized(a: Column) -> Column:
     n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(a, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+
+
+def union_blocks(blocks: dict[str, DataFrame]) -> DataFrame:
+    """One long table of several feature blocks, each feature named ``block:feature``."""
+    out = None
+    for name, x in blocks.items():
+        part = x.select("doc_id", F.concat(F.lit(name + ":"), F.col("feature")).alias("feature"), F.col(x.columns[-1]).cast("double").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def aligned(x: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Entries of features the fitted vocabulary has; features it lacks are dropped, absent ones stand for 0."""
+    return x.join(vocab.select("feature").distinct(), "feature", "left_semi")

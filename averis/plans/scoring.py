@@ -84,3 +84,14 @@ def m10_linear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = S.linear_model(S.pair_vectors(pairs.where("split = 'train'"), x, vocab))
     out = model.transform(S.pair_vectors(pairs.where("split = 'test'"), x, vocab))
     return out.select("pair_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+@query
+def o01_run_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods over the masked corpora, split by known speaker, thresholds per corpus, metrics of both splits."""
+    from averis.operators import pipeline as P
+
+    c = cases(spark, sf_dir).where("masking = 'posnoised'")
+    c = c.select("case_id", "masking", "topic", F.when(F.pmod(F.xxhash64("ka"), F.lit(10)) < 4, "train").otherwise("test").alias("split"), F.concat("ka", F.lit("\u0001"), "ua").alias("pair"), F.col("ka").alias("known_author"), F.col("ua").alias("unknown_author"), "known", "unknown", F.col("label").cast("int").alias("y_true"))
+    out, _ = P.run(c, [P.build("coav"), P.build("lambdag", references=3, order=4)])
+    return M.metrics(out.where("y_pred IS NOT NULL"), [*RUN, "split"])

@@ -315,3 +315,25 @@ def p06_concatenated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.l2_normalized(F.col("embedding")).alias("u"), F.array(F.lit(0.5), F.col("label").cast("double")).alias("s"))
     both = F.concat("u", "s")
     return e.select("vec_id", F.size(both).alias("width"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+_BLOCKS = f"""b AS (SELECT doc_id, 'mark:' || token AS feature, count(*)::DOUBLE AS value FROM t WHERE token IN ({_MARKS}) GROUP BY ALL UNION ALL SELECT doc_id, 'tag:' || tag, count(*) FROM t GROUP BY ALL UNION ALL SELECT doc_id, 'word:' || low, count(*) FROM t WHERE low IN ({_FW}) GROUP BY ALL)"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tok(spark, sf_dir)
+    return V.union_blocks({"mark": FE.counts(t.where(F.col("token").isin(*FE.MARKS)), "token"), "tag": FE.counts(t, "tag"), "word": FE.counts(t.where(F.col("low").isin(*FE.FUNCTION_WORDS)), "low")})
+
+
+@query(f"WITH {_TOK}, {_BLOCKS} SELECT * FROM b")
+def v07_feature_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir)
+
+
+@query(f"WITH {_TOK}, {_BLOCKS}, d AS (SELECT DISTINCT feature FROM b JOIN documents USING (doc_id) WHERE topic = 'math') SELECT b.* FROM b JOIN documents USING (doc_id) JOIN d USING (feature) WHERE topic = 'diy'")
+def v12_aligned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary of one topic applied to another."""
+    b = store(_blocks(spark, sf_dir), "blocks")
+    topics = table(spark, sf_dir, "documents").select("doc_id", "topic")
+    fitted = b.join(topics.where("topic = 'math'"), "doc_id", "left_semi")
+    return V.aligned(b.join(topics.where("topic = 'diy'"), "doc_id", "left_semi"), fitted).select("doc_id", "feature", "value")

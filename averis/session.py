@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; set to a local one only where it is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="averis-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _LOCAL.setdefault(spark.sparkContext.applicationId, found)
-        found = _LOCAL[spark.sparkContext.applicationId]
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="averis-checkpoint-")
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
 _LOCAL: dict[str, str] = {}
+_STORED: list[str] = []
+
+
+@atexit.register
+def _remove_stored() -> None:
+    """Tables written by this process go when it ends; a frame that reads one may live until then."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jvm is None or sc._jsc is None:
+        return
+    try:
+        for path in _STORED:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,6 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: a cheap cut that keeps column pruning."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
