@@ -80,13 +80,14 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     for block in item_blocks(items, item_id, item_text):
         shared = sc.broadcast((block, speller.counts))
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items, counts = shared.value
+        @F.pandas_udf("array<struct<item_id:bigint,spans:array<array<int>>>>")
+        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items, counts = shared.value  # noqa: B023
             sp = Speller(counts)
             grams = Grams(items, sp, n)
-            for b in batches:
+            for s in batches:
                 got = []
-                for d, t in zip(b["doc_id"], b["text"]):
+                for t in s:
                     ws = words(t, sp)
                     hits: dict[int, list[list[int]]] = {}
                     for item, i, j in grams.scan(ws):
@@ -95,10 +96,10 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                             spans[-1][1] = ws[j - 1][2]
                         else:
                             spans.append([ws[i][1], ws[j - 1][2]])
-                    got += [(d, item, spans) for item, spans in hits.items()]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "spans"])
+                    got.append(list(hits.items()))
+                yield pd.Series(got, dtype=object)
 
-        part = rows.mapInPandas(scan, "doc_id bigint, item_id bigint, spans array<array<int>>")
+        part = rows.select("doc_id", F.inline(scan("text")))
         out = part if out is None else out.unionByName(part)
     return out
 
