@@ -25,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TERM = re.compile("(?:[.!?…。！？｡．।॥؟۔]|(?<=[Ͱ-Ͽ]);)+(?:[”“\"’)\\]」』）】》〉]|[   ]?»)*")
+TERM = re.compile("[.!?…。！？｡．।॥؟۔;]+(?:[”“\"’)\\]」』）】》〉]|[   ]?»)*")
 LINE = re.compile("[^\n\r\x0b\x0c\x85  ]+")
 _BLANK_SCRIPT = re.compile("(?<=[฀-໿က-႟ក-៿])\\s+(?=[฀-໿က-႟ក-៿])")
+_BLANK_LETTER = re.compile("[฀-໿က-႟ក-៿]")
 _QUOTES = re.compile("[\"„“”«»()\\[\\]「」『』（）‚‘]")
 _OPEN = {"„": "“”", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）"}
 _CLOSE = "“”»)]」』）"
@@ -137,14 +138,14 @@ class Splitter:
         """Ends of the sentences of ``text``; ``periods`` collects the period neighbourhoods that are classified."""
         out: list[int] = []
         tagged = len(_TAGGED.findall(text, 0, 400)) >= 4
-        thai = _BLANK_SCRIPT.search(text) is not None
+        thai = _BLANK_LETTER.search(text) is not None
         for lm in LINE.finditer(text):
             line = lm.group()
             size = len(line.rstrip())
             if not line.strip():
                 continue
             base = lm.start()
-            if thai and "฀" <= max(line):
+            if thai and _BLANK_LETTER.search(line):
                 found = [m.start() for m in _BLANK_SCRIPT.finditer(line)]
             else:
                 found = []
@@ -154,6 +155,8 @@ class Splitter:
                 if e >= size:
                     break
                 s = m.start()
+                if line[s] == ";" and not "Ͱ" <= line[s - 1 : s] <= "Ͽ":  # a question mark in Greek alone
+                    continue
                 c = line[e]
                 gap = c.isspace()
                 k = e
