@@ -1,4 +1,4 @@
-"""Session helpers: table reading, lineage cuts in the shared folder, size-checked broadcast."""
+"""Session helpers: table reading, lineage cuts in the shared folder, dealing small inputs over the cores."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only when its optimizer size estimate is below this many bytes.
-BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,14 +44,6 @@ def _remove_stored() -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder; lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: a cheap cut that keeps column pruning."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -71,15 +59,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def size_estimate(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only if the size estimate is proven below ``limit``; otherwise the planner shuffles both sides."""
-    return F.broadcast(df) if size_estimate(df) <= limit else df
-
-
 def local_session(app: str = "averis", cores: str | None = None) -> SparkSession:
     n = cores or os.environ.get("BENCH_CPUS", "8")
     return (
