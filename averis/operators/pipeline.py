@@ -61,7 +61,7 @@ def _compression(cases: DataFrame, run: int) -> DataFrame:
 def _likelihood(references: int, order: int) -> Scorer:
     def score(cases: DataFrame, run: int) -> DataFrame:
         k = cases.select("case_id", F.concat_ws("|", *CORPUS).alias("group"), F.col("known_author").alias("ka"), F.col("unknown_author").alias("ua"), T.token_sentences("known").alias("known"), T.token_sentences("unknown").alias("unknown"))
-        pool = k.select("group", F.col("ka").alias("author"), F.explode("known").alias("sentence")).distinct()
+        pool = k.select("group", F.col("ka").alias("author"), "known").distinct().select("group", "author", F.explode("known").alias("sentence"))
         return cases.join(S.lambda_g(k, pool, references=references, order=order, seed=run), "case_id", "left")
     return score
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from averis.operators.metrics import by_score
 from averis.session import store
@@ -110,26 +111,29 @@ def coav(known: Column, unknown: Column, **kw) -> Column:
 
 class KneserNey:
     """Interpolated Kneser-Ney model over token sentences; lower orders count distinct left neighbours, histories that
-    start with the padding count plainly; the recursion ends in a uniform share of the vocabulary plus one unknown."""
+    start with the padding count plainly; the recursion ends in a uniform share of the vocabulary plus one unknown.
+    With ``within`` (a set of histories, see ``histories``) only these are kept: the same probabilities behind them."""
 
-    def __init__(self, sentences: list[tuple[str, ...]], order: int = 10, discount: float = 0.75):
+    def __init__(self, sentences: list[tuple[str, ...]], order: int = 10, discount: float = 0.75, within: set | None = None):
         self.order, self.d = order, discount
         raw: list[dict[tuple, int]] = [defaultdict(int) for _ in range(order + 1)]
+        left: list[dict[tuple, set]] = [defaultdict(set) for _ in range(order + 1)]
         vocab = {"</s>"}
         for s in sentences:
             t = ("<s>",) * (order - 1) + tuple(s) + ("</s>",)
             vocab.update(s)
             for i in range(order - 1, len(t)):
                 for n in range(1, order + 1):
-                    raw[n][t[i - n + 1 : i + 1]] += 1
+                    if within is not None and t[i - n + 1 : i] not in within:
+                        break  # nor is any longer history
+                    g = t[i - n + 1 : i + 1]
+                    raw[n][g] += 1
+                    if n < order:
+                        left[n][g].add(t[i - n])
         self.rows: list[dict[tuple, dict[str, int]]] = [defaultdict(dict) for _ in range(order)]
         for n in range(1, order + 1):
-            if n < order:
-                left: dict[tuple, int] = defaultdict(int)
-                for g in raw[n + 1]:
-                    left[g[1:]] += 1
             for g, c in raw[n].items():
-                self.rows[n - 1][g[:-1]][g[-1]] = c if n == order or g[0] == "<s>" else left[g]
+                self.rows[n - 1][g[:-1]][g[-1]] = c if n == order or g[0] == "<s>" else len(left[n][g])
         self.sums = [{h: (sum(r.values()), len(r)) for h, r in rows.items()} for rows in self.rows]
         self.floor = 1 / (len(vocab) + 1)
 
@@ -153,44 +157,89 @@ class KneserNey:
         return out
 
 
-def likelihood_ratio(case_id: int, known: list, unknown: list, pool: list, own: set, references: int, order: int, seed: int) -> float | None:
+def histories(sentences: list[tuple[str, ...]], order: int) -> set:
+    """Every history that ``KneserNey.bits`` looks up for these sentences; with each also its suffixes."""
+    out = set()
+    for s in sentences:
+        t = ("<s>",) * (order - 1) + tuple(s) + ("</s>",)
+        out.update(t[i - n : i] for i in range(order - 1, len(t)) for n in range(order))
+    return out
+
+
+def drawn(m: int, k: int, key: str) -> list[int]:
+    """``k`` of the numbers below ``m`` without replacement, all subsets alike (Floyd), by digests of ``key``."""
+    out: dict[int, None] = {}
+    for j in range(m - k, m):
+        t = int.from_bytes(hashlib.md5(f"{key}|{j}".encode()).digest()[:8], "big") % (j + 1)
+        out[j if t in out else t] = None
+    return list(out)
+
+
+def likelihood_ratio(known: list[tuple], unknown: list[tuple], samples: list[list[tuple]], order: int) -> float | None:
     """Mean over reference samples of log2 P(unknown | known model) - log2 P(unknown | reference model)."""
-    k, u = [tuple(s) for s in known], [tuple(s) for s in unknown]
-    others = [tuple(s) for a, s in pool if a not in own]
-    if not k or not u or len(others) < len(k):
+    if not known or not unknown or not samples:
         return None
-    base = KneserNey(k, order).bits(u)
-    total = 0.0
-    for r in range(references):
-        ranked = sorted(range(len(others)), key=lambda i: hashlib.md5(f"{seed}|{case_id}|{r}|{i}".encode()).digest())
-        total += base - KneserNey([others[i] for i in ranked[: len(k)]], order).bits(u)
-    return total / references
+    within = histories(unknown, order)
+    base = KneserNey(known, order, within=within).bits(unknown)
+    return sum(base - KneserNey(s, order, within=within).bits(unknown) for s in samples) / len(samples)
 
 
-def lambda_g(cases: DataFrame, pool: DataFrame, references: int = 100, order: int = 10, seed: int = 1, pool_size: int = 500) -> DataFrame:
-    """(case_id, score). ``cases``: case_id, group, ka, ua, known, unknown (ARRAY<ARRAY<STRING>>). ``pool``: group, author,
-    sentence (ARRAY<STRING>). The reference pool of a group is its ``pool_size`` sentences of smallest hash, a bounded
-    sample that is broadcast."""
-    from pyspark.sql.window import Window
-
+def _numbered(pool: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(group, i, sentence): the sentences of each group numbered from 0, those of an author in one run; and
+    (group, author, start, n): these runs. Ranks come from counts per hash range, no window runs over an author's rows."""
     h = F.xxhash64("author", "sentence", F.lit(seed))
-    near = pool.withColumn("h", h).withColumn("cell", F.shiftrightunsigned("h", 58))
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("group", "cell").orderBy("h"))).where(F.col("r") <= max(1, pool_size // 64)).drop("r")
-    by: dict[str, list] = defaultdict(list)
-    for r in top.orderBy("group", "h").collect():
-        by[r["group"]].append((r["author"], tuple(r["sentence"])))
-    shared = cases.sparkSession.sparkContext.broadcast(dict(by))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    near = store(pool.select("group", "author", "sentence", h.alias("h"), F.shiftrightunsigned(h, 54).alias("cell")), "pool")
+    cells = near.groupBy("group", "author", "cell").agg(F.count(F.lit(1)).alias("c"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = cells.groupBy("group", "author").agg(F.sum("c").alias("n"))
+    runs = store(runs.select("group", "author", F.coalesce(F.sum("n").over(before(Window.partitionBy("group").orderBy("author"))), F.lit(0)).alias("start"), "n"), "runs")
+    cells = cells.select("group", "author", "cell", F.coalesce(F.sum("c").over(before(Window.partitionBy("group", "author").orderBy("cell"))), F.lit(0)).alias("skip"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("group", "author", "cell").orderBy("h", "sentence")) - 1)
+    numbered = near.join(cells, ["group", "author", "cell"]).join(runs, ["group", "author"])
+    return numbered.select("group", (F.col("start") + F.col("skip") + F.col("r")).alias("i"), "sentence"), runs
+
+
+def lambda_g(cases: DataFrame, pool: DataFrame, references: int = 100, order: int = 10, seed: int = 1) -> DataFrame:
+    """(case_id, score). ``cases``: case_id, group, ka, ua, known, unknown (ARRAY<ARRAY<STRING>>). ``pool``: group, author,
+    sentence (ARRAY<STRING>). Each sample of a case is drawn from all sentences of its group that are by neither of its
+    speakers; the score is null where these are fewer than the known sentences, or a text is empty."""
+    spark = cases.sparkSession
+    named = lambda x: F.coalesce(F.col(x), F.lit("")).alias(x)
+    numbered, runs = _numbered(pool.select("group", named("author"), "sentence"), seed)
+    joined = lambda s: F.transform(s, lambda x: F.array_join(x, "\u001f"))
+    c = store(cases.select("case_id", "group", named("ka"), named("ua"), joined("known").alias("known"), joined("unknown").alias("unknown")), "cases")
+    own = lambda side, s, n: runs.select("group", F.col("author").alias(side), F.col("start").alias(s), F.col("n").alias(n))
+    ask = c.where("size(known) > 0 AND size(unknown) > 0").select("case_id", "group", "ka", "ua", F.size("known").alias("k"))
+    ask = ask.join(F.broadcast(runs.groupBy("group").agg(F.sum("n").alias("m"))), "group")
+    ask = ask.join(own("ka", "s1", "n1"), ["group", "ka"], "left").join(own("ua", "s2", "n2"), ["group", "ua"], "left")
+    ask = ask.select("case_id", "group", "k", "m", F.coalesce("s1", F.lit(0)).alias("s1"), F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("s2", F.lit(0)).alias("s2"), F.when(F.col("ka") == F.col("ua"), 0).otherwise(F.coalesce("n2", F.lit(0))).alias("n2"))
+
+    def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for c in b.itertuples(index=False):
-                k = c.known if c.known is not None else []
-                u = c.unknown if c.unknown is not None else []
-                out.append((c.case_id, likelihood_ratio(c.case_id, list(k), list(u), shared.value.get(c.group, []), {c.ka, c.ua}, references, order, seed)))
-            yield pd.DataFrame(out, columns=["case_id", "score"]).astype({"score": "float64"})
-
-    return cases.select("case_id", "group", "ka", "ua", "known", "unknown").mapInPandas(run, "case_id bigint, score double")
+            for x in b.itertuples(index=False):
+                others = x.m - x.n1 - x.n2
+                if others < x.k:
+                    continue
+                skipped = sorted(((x.s1, x.n1), (x.s2, x.n2)))
+                for r in range(references):
+                    at = []
+                    for t in drawn(others, x.k, f"{seed}|{x.case_id}|{r}"):
+                        for s, n in skipped:
+                            t += n if t >= s else 0
+                        at.append(t)
+                    yield pd.DataFrame({"case_id": x.case_id, "group": x.group, "rep": r, "i": at})
+
+    def score(cs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        split = lambda xs: [tuple(x.split("\u001f")) for x in xs]
+        samples = [split(g) for _, g in rs.groupby("rep")["sentence"]]
+        out = [(x.case_id, None if x.known is None or x.unknown is None else likelihood_ratio(split(x.known), split(x.unknown), samples, order)) for x in cs.itertuples(index=False)]
+        return pd.DataFrame(out, columns=["case_id", "score"]).astype({"score": "float64"})
+
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = ask.repartition(tasks, "case_id").mapInPandas(draws, "case_id bigint, group string, rep int, i bigint")
+    found = wanted.join(numbered, ["group", "i"]).select("case_id", "rep", F.array_join("sentence", "\u001f").alias("sentence"))
+    left = c.select("case_id", "known", "unknown").repartition(tasks, "case_id").groupBy("case_id")
+    return left.cogroup(found.repartition(tasks, "case_id").groupBy("case_id")).applyInPandas(score, "case_id bigint, score double")
 
 
 def calibrate(df: DataFrame, by: list[str], score: str = "score", truth: str = "y_true", c: float = 1.0, steps: int = 12) -> DataFrame:

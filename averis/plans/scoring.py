@@ -53,7 +53,7 @@ def m07_lambdag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7, M8: likelihood ratio of every masked case, 5 reference models of order 5."""
     c = cases(spark, sf_dir).where("masking = 'posnoised'")
     k = c.select("case_id", F.col("topic").alias("group"), "ka", "ua", T.token_sentences("known").alias("known"), T.token_sentences("unknown").alias("unknown"))
-    pool = k.select("group", F.col("ka").alias("author"), F.explode("known").alias("sentence")).distinct()
+    pool = k.select("group", F.col("ka").alias("author"), "known").distinct().select("group", "author", F.explode("known").alias("sentence"))
     return S.lambda_g(k, pool, references=5, order=5)
 
 
