@@ -5,6 +5,12 @@ A draw for (key, replicate, position) is the first 32 bits of an MD5 digest; the
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,23 +50,55 @@ def bootstrap(df: DataFrame, by: list[str], order: list[str], correct: str, b: i
     return ranked.groupBy(*by, "n", "k").agg(F.round(at(lo), 9).alias("lo"), F.round(at(hi), 9).alias("hi")).select(*by, "n", F.round(F.col("k") / F.col("n"), 9).alias("acc"), "lo", "hi")
 
 
-def paired_randomization(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", ok_a: str = "ok_a", ok_b: str = "ok_b", r: int = 1000, exact_threshold: int = 12, seed: int = 1) -> DataFrame:
+def _uniforms(key: str, n: int) -> np.ndarray:
+    """``n`` numbers in [0, 1): splitmix64 of a counter that starts at the digest of ``key``."""
+    z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big"))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype("float64") * 2.0**-53
+
+
+def _quantiles(logs: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Places in a distribution of these log weights at which its cumulated share passes ``u``."""
+    c = np.cumsum(np.exp(logs - logs.max()))
+    return np.minimum(np.searchsorted(c / c[-1], u, side="right"), len(c) - 1)
+
+
+def _log_choose(n: int) -> np.ndarray:
+    f = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    return f[n] - f - f[::-1]
+
+
+def _binomial(n: int, k: int, u: np.ndarray) -> np.ndarray:
+    """Right answers among ``n`` draws with replacement from ``n`` answers of which ``k`` are right."""
+    if k in (0, n):
+        return np.full(len(u), k)
+    i = np.arange(n + 1)
+    return _quantiles(_log_choose(n) + i * math.log(k / n) + (n - i) * math.log(1 - k / n), u)
+
+
+def _paired_p(key: str, d: int, s: int, r: int, exact_threshold: int) -> float:
+    if d <= exact_threshold:
+        return sum(math.comb(d, k) for k in range(d + 1) if abs(d - 2 * k) >= s) / 2**d
+    t = np.abs(d - 2 * _quantiles(_log_choose(d), _uniforms(key, r)))
+    return (int((t >= s).sum()) + 1) / (r + 1)
+
+
+def paired_randomization(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", ok_a: str = "ok_a", ok_b: str = "ok_b", r: int = 1000, exact_threshold: int = 20, seed: int = 1) -> DataFrame:
     """Two-sided paired approximate randomization on accuracy for each (by, a, b).
 
-    Only cases where the systems differ matter. With d such cases and s = right(a) - right(b) on them, a swap of a
-    random subset changes s to d - 2 x (swapped wins) ...; up to ``exact_threshold`` differing cases the binomial sum
-    is exact, beyond it ``r`` hashed sign patterns are drawn and p = (nge + 1) / (r + 1)."""
+    Only cases where the systems differ matter. With d such cases, s = |right(a) - right(b)| becomes |d - 2 x wins| when
+    each is swapped at random, and the wins are binomial; up to ``exact_threshold`` differing cases their sum is exact,
+    beyond it ``r`` of them are drawn and p = (nge + 1) / (r + 1)."""
     keys = [*by, a, b]
     g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(ok_a).cast("bigint")).alias("ra"), F.sum(F.col(ok_b).cast("bigint")).alias("rb"), F.count_if(F.col(ok_a) != F.col(ok_b)).alias("d"))
-    g = g.withColumn("s", F.abs(F.col("ra") - F.col("rb")))
-    exact = g.where(F.col("d") <= exact_threshold).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(1 << exact_threshold))))
-    exact = exact.where(F.expr("m < shiftleft(1, cast(d AS int))")).groupBy(*keys, "n", "ra", "rb", "d").agg((F.avg((F.abs(F.col("d") - 2 * F.bit_count("m")) >= F.col("s")).cast("double"))).alias("p"))
-    key = F.concat_ws("|", F.lit(str(seed)), *keys)
-    many = _dealt(g.where(F.col("d") > exact_threshold).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))), [*keys, "rep"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
-    signs = many.select(*keys, "n", "ra", "rb", "d", "s", "rep", (1 - 2 * F.pmod(draw(key, F.col("rep"), F.col("i")), F.lit(2))).alias("e"))
-    stat = signs.groupBy(*keys, "n", "ra", "rb", "d", "s", "rep").agg(F.abs(F.sum("e")).alias("_stat"))
-    approx = stat.groupBy(*keys, "n", "ra", "rb", "d").agg(((F.count_if(F.col("_stat") >= F.col("s")) + 1) / (r + 1)).alias("p"))
-    both = exact.unionByName(approx)
+
+    @F.pandas_udf("double")
+    def p_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ks, ds, ss in batches:
+            yield pd.Series([_paired_p(k, int(d), int(s), r, exact_threshold) for k, d, s in zip(ks, ds, ss)], dtype="float64")
+
+    both = _dealt(g, keys).withColumn("p", p_of(F.concat_ws("|", F.lit(str(seed)), *keys), "d", F.abs(F.col("ra") - F.col("rb"))))
     return both.select(*keys, "n", F.round(F.col("ra") / F.col("n"), 9).alias("acc_a"), F.round(F.col("rb") / F.col("n"), 9).alias("acc_b"), F.round("p", 6).alias("p"), stars(F.col("p")).alias("stars"))
 
 

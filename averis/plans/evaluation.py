@@ -159,7 +159,7 @@ art AS (SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9)
 
 @query(f"WITH {_ART} SELECT * FROM art")
 def b02_paired_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.paired_randomization(_paired(spark, sf_dir), ["topic", "masking"], r=200)
+    return B.paired_randomization(_paired(spark, sf_dir), ["topic", "masking"])
 
 
 @query(f"WITH {_PAIRED} SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, d FROM g")
