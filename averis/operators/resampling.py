@@ -34,20 +34,19 @@ def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap(df: DataFrame, by: list[str], order: list[str], correct: str, b: int = 1000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """n, acc and percentile interval (lo, hi) of the accuracy over ``b`` resamples of each group.
 
-    Only the number of right answers matters, so a draw below the share of right answers counts as right: the cases of
-    a group are put in order with the right ones first and index ``draw % n`` is right iff it is below their number.
-    No case is joined to its draws; a group is expanded to b x n hashes within its task and summed at once."""
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("bigint")).alias("k"))
-    key = F.concat_ws("|", F.lit(str(seed)), *by)
-    reps = _dealt(g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))), [*by, "rep"])
-    each = reps.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    hits = each.select(*by, "n", "k", "rep", (F.pmod(draw(key, F.col("rep"), F.col("i")), F.col("n")) < F.col("k")).cast("bigint").alias("h"))
-    accs = hits.groupBy(*by, "n", "k", "rep").agg(F.sum("h").alias("h"))
-    w = Window.partitionBy(*by).orderBy("h", "rep")
-    ranked = accs.withColumn("r", F.row_number().over(w) - 1)
+    Only the number of right answers matters, and it is binomial: each replicate is one number of the group's stream, put
+    through the inverse distribution. No case is joined to its draws; a group is one row and is worked on where it is."""
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(correct).cast("bigint")), F.lit(0)).alias("k"))
     lo, hi = int(alpha / 2 * b), min(b - 1, int((1 - alpha / 2) * b))
-    at = lambda r: F.max(F.when(F.col("r") == r, F.col("h") / F.col("n")))
-    return ranked.groupBy(*by, "n", "k").agg(F.round(at(lo), 9).alias("lo"), F.round(at(hi), 9).alias("hi")).select(*by, "n", F.round(F.col("k") / F.col("n"), 9).alias("acc"), "lo", "hi")
+
+    @F.pandas_udf("struct<lo:double,hi:double>")
+    def interval(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ks, ns, rights in batches:
+            hits = [np.sort(_binomial(int(n), int(k), _uniforms(x, b))) / n for x, n, k in zip(ks, ns, rights)]
+            yield pd.DataFrame([(h[lo], h[hi]) for h in hits], columns=["lo", "hi"]).astype("float64")
+
+    got = _dealt(g, by).withColumn("ci", interval(F.concat_ws("|", F.lit(str(seed)), *by), "n", "k"))
+    return got.select(*by, "n", F.round(F.col("k") / F.col("n"), 9).alias("acc"), F.round("ci.lo", 9).alias("lo"), F.round("ci.hi", 9).alias("hi"))
 
 
 def _uniforms(key: str, n: int) -> np.ndarray:

@@ -135,8 +135,8 @@ h AS (SELECT topic, masking, method, run, n, k, rep, sum(CASE WHEN {_D("'1'", 't
 o AS (SELECT *, row_number() OVER (PARTITION BY topic, masking, method, run ORDER BY h, rep)-1 AS o FROM h)
 SELECT topic, masking, method, run, n, round(k/n, 9) AS acc, round(max(CASE WHEN o=2 THEN h/n END), 9) AS lo, round(max(CASE WHEN o=97 THEN h/n END), 9) AS hi FROM o GROUP BY topic, masking, method, run, n, k""")
 def b01_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1 AND masking = 'original'")
-    return B.bootstrap(p.withColumn("ok", (F.col("y_true") == F.col("y_pred"))), RUN, ["pair"], "ok", b=100)
+    p = base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1")
+    return B.bootstrap(p.withColumn("ok", (F.col("y_true") == F.col("y_pred"))), RUN, ["pair"], "ok")
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:

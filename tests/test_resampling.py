@@ -1,7 +1,10 @@
 import math
 
+import random
+
 import pytest
 
+from averis.operators import resampling as B
 from averis.plans import evaluation as E
 
 
@@ -20,3 +23,24 @@ def test_b02_thousand_replicates_and_exact_to_twenty(spark, tmp_path):
     assert got["diy"].p == pytest.approx(1 / 1001, abs=1e-6) and got["diy"].stars == "***"
     want = sum(math.comb(18, k) for k in range(19) if abs(18 - 2 * k) >= 8) / 2**18
     assert got["math"].p == pytest.approx(want, abs=1e-6)
+
+
+def test_b01_both_maskings_thousand_resamples(spark, tmp_path):
+    rows = [("diy", m, "coav", 1, p, p % 4 > 0) for m in ("original", "posnoised") for p in range(40)]
+    rows += [("math", "posnoised", "css", r, p, r == 1) for r in (1, 2) for p in range(5)]
+    got = {(r.topic, r.masking, r.run): r for r in E.b01_bootstrap_ci(spark, write(spark, tmp_path, rows)).collect()}
+    assert len(got) == 4 and (got["math", "posnoised", 1].lo, got["math", "posnoised", 2].hi) == (1.0, 0.0)
+    rng = random.Random(1)
+    accs = sorted(sum(rng.random() < 0.75 for _ in range(40)) / 40 for _ in range(20000))
+    for m in ("original", "posnoised"):
+        r = got["diy", m, 1]
+        assert (r.n, r.acc) == (40, 0.75) and abs(r.lo - accs[500]) <= 1 / 40 + 1e-9 and abs(r.hi - accs[19500]) <= 1 / 40 + 1e-9
+
+
+def test_b01_order_statistics(spark):
+    """The 25th and 975th of 1,000 sorted resamples, by the streams the operator draws from."""
+    df = spark.createDataFrame([("g", i < 30) for i in range(37)], "g string, ok boolean")
+    r = B.bootstrap(df, ["g"], [], "ok").collect()[0]
+    cdf = [sum(math.comb(37, i) * (30 / 37) ** i * (7 / 37) ** (37 - i) for i in range(h + 1)) for h in range(38)]
+    hits = sorted(next(h for h in range(38) if u < cdf[h] or h == 37) for u in B._uniforms("1|g", 1000))
+    assert (r.lo, r.hi) == (pytest.approx(hits[25] / 37), pytest.approx(hits[975] / 37))
