@@ -111,3 +111,35 @@ def stratified_randomization(df: DataFrame, by: list[str], stratum: str, group:
     mean = lambda c, x: F.avg(F.when(F.col(c) == x, F.col("v")))
     reps = d.groupBy(*by, "rep").agg(F.round(F.abs(mean("g", "a") - mean("g", "b")), 9).alias("real"), F.round(F.abs(mean("h", "a") - mean("h", "b")), 9).alias("drawn"))
     return reps.groupBy(*by).agg(F.round(F.max("real"), 6).alias("diff"), F.round((F.count_if(F.col("drawn") >= F.col("real")) + 1) / (r + 1), 6).alias("p"))
+
+
+def _hypergeometric(n: int, k: int, na: int, u: np.ndarray) -> np.ndarray:
+    """Right answers among ``na`` of ``n`` answers, of which ``k`` are right, drawn without replacement."""
+    low, high = max(0, na - (n - k)), min(k, na)
+    i = np.arange(low, high + 1)
+    return low + _quantiles(_log_choose(k)[i] + _log_choose(n - k)[na - i], u)
+
+
+def stratified_accuracy(df: DataFrame, by: list[str], stratum: str, group: str, right: str, weight: str | None = None, r: int = 1000, seed: int = 1) -> DataFrame:
+    """``stratified_randomization`` of answers that are right (1) or wrong (0): after a shuffle within a stratum the right
+    ones of group 'a' are hypergeometric, so each replicate is one number a stratum and no row is multiplied. A row
+    stands for ``weight`` answers."""
+    is_a, ok, c = F.col(group) == "a", F.col(right).cast("bigint"), F.col(weight) if weight else F.lit(1).cast("bigint")
+    g = df.where(ok.isNotNull()).groupBy(*by, F.col(stratum).cast("string").alias("_s")).agg(F.sum(c).alias("n"), F.sum(ok * c).alias("k"), F.coalesce(F.sum(F.when(is_a, c)), F.lit(0)).alias("na"), F.coalesce(F.sum(F.when(is_a, ok * c)), F.lit(0)).alias("ka"))
+    g = g.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_s", "n", "k", "na", "ka"))).alias("x"))
+    g = g.where("aggregate(x, 0L, (t, y) -> t + y.na) > 0 AND aggregate(x, 0L, (t, y) -> t + y.n - y.na) > 0")
+
+    @F.pandas_udf("struct<diff:double,p:double>")
+    def test(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for keys, strata in batches:
+            out = []
+            for key, xs in zip(keys, strata):
+                n, k, na, ka = (sum(x[f] for x in xs) for f in ("n", "k", "na", "ka"))
+                far = lambda h: np.round(np.abs(h / na - (k - h) / (n - na)), 9)  # noqa: B023, E731
+                h = sum(_hypergeometric(x["n"], x["k"], x["na"], _uniforms(f"{key}|{x['_s']}", r)) for x in xs)
+                real = far(np.array([ka]))[0]
+                out.append((float(real), (int((far(h) >= real).sum()) + 1) / (r + 1)))
+            yield pd.DataFrame(out, columns=["diff", "p"]).astype("float64")
+
+    got = _dealt(g, by).withColumn("t", test(F.concat_ws("|", F.lit(str(seed)), *by), "x"))
+    return got.select(*by, F.round("t.diff", 6).alias("diff"), F.round("t.p", 6).alias("p"))

@@ -178,13 +178,16 @@ x AS (SELECT *, count_if(g='a') OVER (PARTITION BY masking, method, target, rep,
 y AS (SELECT masking, method, target, rep, round(abs(avg(CASE WHEN g='a' THEN ok::DOUBLE END)-avg(CASE WHEN g='b' THEN ok::DOUBLE END)), 9) AS real, round(abs(avg(CASE WHEN pos<=na THEN ok::DOUBLE END)-avg(CASE WHEN pos>na THEN ok::DOUBLE END)), 9) AS drawn FROM x GROUP BY ALL)
 SELECT masking, method, target, round(max(real), 6) AS diff, round((count_if(drawn>=real)::BIGINT+1)/51, 6) AS p FROM y GROUP BY ALL""")
 def b03_stratified_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last source of each cross-topic target, compared within runs."""
+    """Every two sources of each cross-topic target, compared within runs."""
     c = r"^([a-z]+)2([a-z]+)$"
-    v = predictions(spark, sf_dir).where((F.col("split") == "test") & F.col("topic").rlike(c) & (F.col("masking") == "original"))
-    v = v.select(F.col("row_id").alias("_id"), "masking", "method", F.regexp_extract("topic", c, 2).alias("target"), F.regexp_extract("topic", c, 1).alias("source"), F.col("run").alias("stratum"), (F.col("y_true") == F.col("y_pred")).cast("int").alias("ok"))
-    m = v.groupBy("masking", "method", "target").agg(F.min("source").alias("sa"), F.max("source").alias("sb")).where("sa < sb")
-    w = v.join(m, ["masking", "method", "target"]).where("source = sa OR source = sb").withColumn("g", F.when(F.col("source") == F.col("sa"), "a").otherwise("b"))
-    return B.stratified_randomization(w, ["masking", "method", "target"], "stratum", "g", "ok", r=50)
+    v = predictions(spark, sf_dir).where((F.col("split") == "test") & F.col("topic").rlike(c))
+    v = v.select("masking", "method", F.regexp_extract("topic", c, 2).alias("target"), F.regexp_extract("topic", c, 1).alias("source"), F.col("run").alias("stratum"), (F.col("y_true") == F.col("y_pred")).cast("int").alias("ok"))
+    v = v.groupBy("masking", "method", "target", "source", "stratum", "ok").agg(F.count(F.lit(1)).alias("c"))
+    v = store(v, "sources")
+    m = v.select("masking", "method", "target", "source").distinct()
+    m = m.withColumnRenamed("source", "source_a").join(m.withColumnRenamed("source", "source_b"), ["masking", "method", "target"]).where("source_a < source_b")
+    w = v.join(m, ["masking", "method", "target"]).where("source = source_a OR source = source_b").withColumn("g", F.when(F.col("source") == F.col("source_a"), "a").otherwise("b"))
+    return B.stratified_accuracy(w, ["masking", "method", "target", "source_a", "source_b"], "stratum", "g", "ok", weight="c")
 
 
 # ---- deduplication and reports ----

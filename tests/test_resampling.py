@@ -44,3 +44,26 @@ def test_b01_order_statistics(spark):
     cdf = [sum(math.comb(37, i) * (30 / 37) ** i * (7 / 37) ** (37 - i) for i in range(h + 1)) for h in range(38)]
     hits = sorted(next(h for h in range(38) if u < cdf[h] or h == 37) for u in B._uniforms("1|g", 1000))
     assert (r.lo, r.hi) == (pytest.approx(hits[25] / 37), pytest.approx(hits[975] / 37))
+
+
+def test_b03_all_pairs_of_sources(spark, tmp_path):
+    """Three sources, two maskings: three comparisons each; p near that of the whole permutation distribution."""
+    rows = [(f"{s}2diy", m, "coav", r, p, p < k) for m in ("original", "posnoised") for r in (1, 2) for s, k in (("cooking", 20), ("finance", 12), ("math", 2)) for p in range(20)]
+    got = {(r.masking, r.source_a, r.source_b): r for r in E.b03_stratified_randomization(spark, write(spark, tmp_path, rows)).collect()}
+    assert set(got) == {(m, *s) for m in ("original", "posnoised") for s in (("cooking", "finance"), ("cooking", "math"), ("finance", "math"))}
+    assert got["original", "cooking", "math"].diff == 0.9 and got["original", "cooking", "math"].p == pytest.approx(1 / 1001, abs=1e-6)
+
+
+def test_stratified_accuracy_distribution(spark):
+    rows = [("t", s, "a" if i < na else "b", int((i * 7) % n < k)) for s, n, na, k in ((1, 9, 4, 5), (2, 6, 3, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "t string, s int, g string, ok int")
+    got = B.stratified_accuracy(df, ["t"], "s", "g", "ok", r=20000).collect()[0]
+    na, n = sum(x[2] == "a" for x in rows), len(rows)
+    k, ka = sum(x[3] for x in rows), sum(x[3] for x in rows if x[2] == "a")
+    far = lambda h: round(abs(h / na - (k - h) / (n - na)), 9)
+    want = 0
+    for x in range(5):
+        for y in range(4):
+            if far(x + y) >= far(ka):
+                want += math.comb(5, x) * math.comb(4, 4 - x) / math.comb(9, 4) * math.comb(2, y) * math.comb(4, 3 - y) / math.comb(6, 3)
+    assert got.diff == pytest.approx(far(ka), abs=1e-6) and got.p == pytest.approx(want, abs=0.015)
