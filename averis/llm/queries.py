@@ -90,12 +90,15 @@ def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 7 ----
 def p7_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-empty text of both maskings; the level is null where no graded sample has a word of it in its language."""
     samples = reading.read_samples(table(spark, sf_dir, "reading_labels"))
-    return reading.with_level(sides(spark, sf_dir, "masking", "lang").where("masking = 'original'"), ["case_id", "side"], "lang", "text", samples).select("case_id", "side", "level")
+    return reading.with_level(sides(spark, sf_dir, "masking", "lang"), ["case_id", "side"], "lang", "text", samples, keep=True).select("case_id", "side", "level")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_levels(spark, sf_dir).where("level = 4").select("case_id", "side")
+    samples = reading.read_samples(table(spark, sf_dir, "reading_labels"))
+    texts = sides(spark, sf_dir, "masking", "lang").where("masking = 'original'")
+    return reading.with_level(texts, ["case_id", "side"], "lang", "text", samples).where("level = 4").select("case_id", "side")
 
 
 # ---- 8 ----

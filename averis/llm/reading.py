@@ -6,7 +6,7 @@ say nothing and are skipped. The models are counted from the graded samples, who
 rows at every scale (its size is checked before it is collected); every text is scored whole.
 
 Defined results: null and empty texts, texts in a language without samples and texts without any word get no level
-(no row); ties go to the easier level; posteriors sum to 1; repeated rows are scored each.
+(no row, or with ``keep`` a null level unless the text is empty); ties go to the easier level; posteriors sum to 1; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -69,8 +69,9 @@ def read_samples(labels: DataFrame, lang: str = "lang", level: str = "level", te
     return sorted((r["lang"], r["level"], r["text"]) for r in rows.collect())
 
 
-def with_level(df: DataFrame, keys: list[str], lang: str, text: str, samples: list[tuple[str, int, str]], mu: float = 200.0) -> DataFrame:
-    """(keys, level INT, p DOUBLE) of every text in a language that has samples."""
+def with_level(df: DataFrame, keys: list[str], lang: str, text: str, samples: list[tuple[str, int, str]], mu: float = 200.0, keep: bool = False) -> DataFrame:
+    """(keys, level INT, p DOUBLE) of every text in a language that has samples; with ``keep`` of every non-empty text,
+    level and p being null where no model can say anything."""
     langs = sorted({x for x, _, _ in samples})
 
     @F.pandas_udf("struct<level:int,p:double>")
@@ -84,7 +85,10 @@ def with_level(df: DataFrame, keys: list[str], lang: str, text: str, samples: li
             yield pd.DataFrame(best, columns=["level", "p"]).astype({"level": "Int32", "p": "float64"})
 
     base = F.regexp_replace(F.lower(F.trim(F.col(lang))), "[-_].*", "")
-    rows = df.select(*keys, base.alias("_l"), F.col(text).alias("_t")).where(F.col("_l").isin(langs) & (F.length("_t") > 0))
-    return rows.select(*keys, grade("_l", "_t").alias("g")).select(*keys, "g.level", "g.p").where("level IS NOT NULL")
+    rows = df.select(*keys, base.alias("_l"), F.col(text).alias("_t")).where(F.length("_t") > 0)
+    if not keep:
+        rows = rows.where(F.col("_l").isin(langs))
+    graded = rows.select(*keys, grade("_l", "_t").alias("g")).select(*keys, "g.level", "g.p")
+    return graded if keep else graded.where("level IS NOT NULL")
 
 

@@ -56,3 +56,15 @@ def test_levels_frame(spark):
     df = spark.createDataFrame([(1, "DE ", "das gut", 7), (2, "de-AT", "gleichwohl", 7), (3, "fr", "das", 7), (4, None, "das", 7), (5, "de", None, 7), (6, "de", "", 7), (7, "de", "123 !", 7), (8, "de", "unbekannt", 7), (1, "de", "das gut", 7)], "id bigint, lang string, text string, level int")
     got = sorted((r.id, r.level) for r in reading.with_level(df, ["id"], "lang", "text", samples).collect())
     assert got == [(1, 1), (1, 1), (2, 2), (8, 1)]
+
+
+def test_levels_of_every_text(spark, tmp_path):
+    from averis.llm import queries as Q
+
+    rows = [(i, m, l, "Das ist ein Text.", u) for i, (m, l, u) in enumerate([("original", "de", ""), ("posnoised", "de_AT", "Der Text N V."), ("original", "fr", "Bonjour."), ("posnoised", None, None), ("original", "de", "123")])]
+    spark.createDataFrame(rows, "case_id bigint, masking string, lang string, known string, unknown string").write.parquet(f"{tmp_path}/read_corpus_sorted.parquet")
+    spark.createDataFrame([(1, "de", 1, "das ist ein text"), (2, "de", 4, "der erörterte sachverhalt")], "sample_id bigint, lang string, level int, text string").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    got = {(r.case_id, r.side): r.level for r in Q.p7_levels(spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and (0, "unknown") not in got and (3, "unknown") not in got
+    assert got[0, "known"] == 1 and got[1, "known"] == 1 and got[1, "unknown"] is not None
+    assert got[2, "known"] is None and got[3, "known"] is None and got[4, "unknown"] is None
