@@ -45,3 +45,40 @@ def test_frame(spark):
     assert {(r.id, r.sent_end): r["count"] for r in got} == {(1, 4): 2, (1, 9): 2, (6, 200_000): 1}
     assert [r.sentences for r in S.sentences(df, ["id"], "text", {"bias": 1.0}).where("id = 1").collect()] == [["A b.", "C d."]] * 2
     assert S.sentence_ends(df.limit(0), ["id"], "text", S.fit(df.limit(0), "id", "text")).count() == 0
+
+
+def test_order_of_rows_is_without_effect():
+    w = {"bias": -1.0, "chain": 3.0, "month": 3.0, "suffix|upper": 4.0}
+    for pairs in (["Es war z. B., so.", "Es war z. Banane so."], ["Am (12). Mai kam er.", "Am (12). Mond kam er."], ["Nr 5 b. Das geht.", "Und b. Das geht."]):
+        there, back = S.Splitter(w), S.Splitter(w)
+        a = [there.ends(t) for t in pairs]
+        assert [back.ends(t) for t in pairs[::-1]][::-1] == a == [S.Splitter(w).ends(t) for t in pairs]
+
+
+def test_tags_count_where_they_stand(splitter):
+    plain, tagged = "Wir nehmen die Bretter und Nägel dazu. " * 40, "N V die N. Die N sind A. Wir V N V. N V da. " * 4
+    w = S.Splitter(S.train([*TRAIN, tagged * 3, plain]))
+    early, late = w.ends(tagged + plain), w.ends(plain + tagged)
+    assert len(early) == len(late)
+    assert [e for e in early if e <= len(tagged)] == w.ends(tagged.strip())
+
+
+def test_unclosed_openers_have_no_limit():
+    line = "( " * 50 + "er sagte „Ja. Gut.“ dazu. Das ist es."
+    a = line.index("„")
+    assert S.spans(line) == [(a, line.index("“"))]
+    assert S.spans('(a „b“ c) "d" [e') == [(0, 8), (10, 12)]
+    assert S.spans("(" * 100_000 + "“" * 10) == []
+
+
+def test_every_kind_of_mark_is_classified():
+    with_ = S.Splitter(S.train([]))
+    assert with_.ends("Ja! Nein? Ob das so ist! und weiter. 好。好") == [3, 9, 36, 39, 40]
+    assert S.Splitter({}).ends("Ja! Nein? Gut. 好。好") == [18]
+
+
+def test_long_texts_train_too(spark):
+    df = spark.createDataFrame([(1, "Das geht ganz gut. Wir nehmen Nägel.\n" * 2000), (2, "ca. 8 Stück.\nJa. Ja."), (3, None), (4, "")], "id bigint, text string")
+    w = S.fit(df, "id", "text")
+    assert w == S.train([r.text for r in df.collect() if r.text])
+    assert S.Splitter(w).ends("Das passt gut. Die Nägel auch.") == [14, 30]
