@@ -1,10 +1,14 @@
 """Problem 5: oversized texts cut at natural boundaries.
 
 Dynamic programming over boundary positions: a cut after position b costs the penalty of its kind (paragraph, line,
-sentence, clause, blank, none) plus a quadratic share for the piece's distance from an even size. Piece k covers
-[cut(k-1) - overlap, cut(k)), so every piece repeats exactly ``overlap`` characters of the one before, and no piece is
-longer than ``limit``. Candidates are all natural boundaries; where a stretch as long as a quarter piece has none,
-every 32nd position that does not part a base letter from its marks is added, so a text without boundaries is cut too.
+sentence, clause, blank, none), a piece costs one and a quadratic share for the distance of its size from the even size
+of the fewest pieces that fit. Piece k covers [cut(k-1) - overlap, cut(k)), so every piece repeats exactly ``overlap``
+characters of the one before, and no piece is longer than ``limit``; every piece but the last adds at least ``overlap``
+characters (a quarter of ``limit - overlap``, if that is less). Every natural boundary is a candidate; where a stretch as
+long as a quarter piece has none, every 32nd position that does not part a base letter from its marks is added (any
+position, where marks alone run that long), so a text without boundaries is cut too. One pass finds the cheapest cuts
+over all numbers of pieces; since a piece has a least size, the ends within that size do not depend on each other and
+are decided together, so the work is the number of boundaries times those of one piece, however long the text.
 
 Defined results: null and empty texts give no piece; a text of at most ``limit`` characters is one piece; a final
 piece always reaches the end of the text; characters are code points; repeated rows are cut each.
@@ -14,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,75 +45,63 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[list[int], list[flo
             kind[m.end()] = PENALTIES[k]
     kind.pop(0, None)
     kind.pop(len(text), None)
-    cells: dict[int, int] = {}
-    for p in sorted(kind):  # of the plain blanks in a stretch of 8 characters the last one stands for all
-        if kind[p] == PENALTIES[4]:
-            old = cells.get(p // 8)
-            if old is not None:
-                del kind[old]
-            cells[p // 8] = p
     natural = sorted(kind)
     gap = max(1, (limit - overlap) // 4)
     stride = max(1, min(STRIDE, gap // 2))
     for a, b in zip([0, *natural], [*natural, len(text)]):
         if b - a > gap:
             for p in range(a + stride, b, stride):
-                while p < b and unicodedata.category(text[p])[0] == "M":
-                    p += 1
+                q = p
+                while q < b and q - p < gap and unicodedata.category(text[q])[0] == "M":
+                    q += 1
+                p = q if q - p < gap else p
                 if p < b:
                     kind.setdefault(p, PENALTIES[5])
     at = sorted(kind)
     return at, [kind[p] for p in at]
 
 
-def _best_cuts(pos: np.ndarray, pen: np.ndarray, n: int, limit: int, overlap: int, count: int) -> tuple[float, list[int]]:
-    """Cheapest cuts into exactly ``count`` pieces, layer by layer: cut k can only lie where both what is before it and
-    what is behind it fit, a window no wider than the slack of the text."""
-    step = limit - overlap
-    ideal = (n - overlap) / count
-    at, cost, back = np.array([0]), np.array([0.0]), []
-    for k in range(1, count + 1):
-        if k < count:
-            lo = bisect_left(pos, max(overlap + 1, n - (count - k) * step))
-            hi = bisect_right(pos, min(n - 1, limit + (k - 1) * step))
-            ends, price = pos[lo:hi], pen[lo:hi]
-        else:
-            ends, price = np.array([n]), np.array([0.0])
-        if not len(ends):
-            return np.inf, []
-        size = ends[None, :] - at[:, None]
-        total = cost[:, None] + 4.0 * (size / ideal - 1.0) ** 2
-        total = np.where((size > 0) & (size <= (limit if k == 1 else step)), total, np.inf)
-        best = total.argmin(0)
-        back.append(best)
-        cost = total[best, np.arange(len(ends))] + price
-        at = ends
-        back[-1] = (best, ends)
-    if not np.isfinite(cost[0]):
-        return np.inf, []
-    out, j = [], 0
-    for best, ends in reversed(back):
-        out.append(int(ends[j]))
-        j = int(best[j])
-    return float(cost[0]), out[::-1]
-
-
 def cut_points(text: str, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces, the last being the length of the text. The fewest pieces that fit are taken; one or two more
-    are tried where the fewest leave so little slack that a cut would fall at no natural boundary."""
+    """Ends of the pieces, the last being the length of the text."""
     n = len(text)
     if n <= limit:
         return [n] if n else []
-    pos, pen = (np.array(x) for x in boundaries(text, limit, overlap))
+    return cheapest_cuts(*boundaries(text, limit, overlap), n, limit, overlap)[1]
+
+
+def cheapest_cuts(pos: list[int], pen: list[float], n: int, limit: int, overlap: int) -> tuple[float, list[int]]:
+    """Cost and ends of the cheapest pieces that end at ``pos`` (penalties ``pen``) or at ``n``."""
     step = limit - overlap
-    fewest = -(-(n - overlap) // step)
-    best: tuple[float, list[int]] = (np.inf, [])
-    for count in range(fewest, fewest + 3):
-        got = _best_cuts(pos, pen, n, limit, overlap, count)
-        best = min(best, (got[0] + count, got[1]))
-        if best[0] - count < PENALTIES[5]:
-            break
-    return best[1] or [*range(limit, n, step), n]
+    least = max(1, min(overlap, step // 4))
+    scale = -(-(n - overlap) // step) / (n - overlap)
+    from_ = bisect_left(pos, overlap + least)
+    at = np.array([overlap, *pos[from_:], n])  # the first piece adds what it has beyond the overlap
+    price = np.array([0.0, *pen[from_:], 0.0])
+    cost, back = np.full(len(at), np.inf), np.zeros(len(at), dtype=np.int64)
+    cost[0] = 0.0
+    first, past = np.searchsorted(at, at - step), np.searchsorted(at, at - least, side="right")
+    past[-1] = len(at) - 1
+    i = 1
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + least, side="left")))
+        j = min(j, len(at) - 1) if i < len(at) - 1 else len(at)
+        a, b = first[i], past[j - 1]
+        if a < b:
+            size = at[None, i:j] - at[a:b, None]
+            total = size * scale - 1.0
+            total *= total
+            total *= 4.0
+            total += cost[a:b, None] + 1.0
+            total[(size < (least if j < len(at) else 1)) | (size > step)] = np.inf
+            got = total.argmin(0)
+            cost[i:j] = total[got, np.arange(j - i)] + price[i:j]
+            back[i:j] = got + a
+        i = j
+    out, i = [], len(at) - 1
+    while i:
+        out.append(int(at[i]))
+        i = int(back[i])
+    return float(cost[-1]), out[::-1]
 
 
 def pieces(df: DataFrame, keys: list[str], text: str, limit: int = 3000, overlap: int = 200) -> DataFrame:

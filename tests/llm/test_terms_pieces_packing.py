@@ -53,26 +53,36 @@ def test_pieces_prefer_natural_boundaries():
     assert all(text[:e].rstrip().endswith(".") for e in pieces.cut_points(text, 1000, 100))
 
 
-def test_pieces_optimal_on_small_input():
-    """The layered search finds the cheapest cuts with that number of pieces (brute force over all cuts)."""
+@pytest.mark.parametrize("text", ["ab cd. ef, gh ij. kl mn op. qr", "abcdefghijklm\nop qrst, uvwx yz. ab", "aa bb cc dd ee ff gg hh ii jj"])
+def test_pieces_optimal_on_small_input(text):
+    """The search finds the cheapest cuts over all sets of cuts, whatever their number."""
     from itertools import combinations
 
-    import numpy as np
-
-    text = "ab cd. ef, gh ij. kl mn op. qr"
     limit, overlap = 14, 2
     pos, pen = pieces.boundaries(text, limit, overlap)
-    cost, cuts = pieces._best_cuts(np.array(pos), np.array(pen), len(text), limit, overlap, 3)
-    price = dict(zip(pos, pen))
-    ideal = (len(text) - overlap) / 3
+    n, step = len(text), limit - overlap
+    price, ideal = dict(zip(pos, pen)), (n - overlap) / -(-(n - overlap) // step)
     best = math.inf
-    for a, b in combinations(pos, 2):
-        ends = [a, b, len(text)]
-        sizes = [a, b - a, len(text) - b]
-        if a > limit or a <= overlap or any(s > limit - overlap for s in sizes[1:]):
-            continue
-        best = min(best, sum(4 * (s / ideal - 1) ** 2 for s in sizes) + sum(price.get(e, 0) for e in ends))
-    assert cost == pytest.approx(best) and len(cuts) == 3
+    for k in range(1, 6):
+        for cuts in combinations(pos, k):
+            sizes = [b - a for a, b in zip([overlap, *cuts], [*cuts, n])]
+            if all(2 <= s <= step for s in sizes[:-1]) and sizes[-1] <= step:
+                best = min(best, sum(1 + 4 * (s / ideal - 1) ** 2 for s in sizes) + sum(price[c] for c in cuts))
+    cost, cuts = pieces.cheapest_cuts(pos, pen, n, limit, overlap)
+    assert cost == pytest.approx(best) and cuts[-1] == n
+
+
+def test_every_boundary_is_a_candidate():
+    text = "ab " * 2000
+    assert pieces.boundaries(text, 3000, 200)[0] == list(range(3, 6000, 3))
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(15, 6), (101, 49), (10, 0), (21, 9), (3, 0)])
+def test_pieces_of_any_limit(limit, overlap):
+    for text in ("x" * 500, "a\u0301" * 400, "\u0301" * 300, "wort " * 90, "ab\n\n" * 80):
+        ends = pieces.cut_points(text, limit, overlap)
+        starts = [0] + [e - overlap for e in ends[:-1]]
+        assert ends[-1] == len(text) and all(0 < e - s <= limit for s, e in zip(starts, ends))
 
 
 def test_pieces_frame(spark):
