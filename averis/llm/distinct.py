@@ -4,7 +4,8 @@ weight(term, record) = log2(1 + tf) * (1 - H(term) / log2(N)), H the entropy of
 With G = sum tf and S = sum tf*log2(tf) over records, H = log2(G) - S/G, so one aggregation by term gives all of it and
 the entropy never needs the pairs again. The aggregations: (1) terms within a record, counted in the row itself by
 sorting its words, so no shuffle; (2) G, S and df by term with map-side combine. Pairs then meet their term's numbers:
-terms in many records are at most ``total pairs / hot`` in number and are broadcast, the rest is joined by shuffle.
+terms in more than ``hot`` records and more than one in ``HOT_TERMS`` of all pairs are broadcast, and there are at most
+``HOT_TERMS`` of them; the rest is joined by shuffle.
 
 Defined results: null and empty texts have no terms but a non-null text counts in N; N of 1 gives entropy share 0;
 repeated rows are records of their own; letters are Unicode letters, a term the longest run of them of at least
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from averis.session import store
 
+#: Terms whose numbers are broadcast, at most.
+HOT_TERMS = 100_000
+
 
 def row_counts(text: Column, min_letters: int = 4) -> Column:
     """ARRAY<STRUCT<term, tf>> of one text: sort the words, keep where each run of equal words starts."""
@@ -42,14 +46,9 @@ def log_entropy(records: DataFrame, keys: list[str], text: str, min_letters: int
     share = entropy / F.lit(_log2(n)) if n > 1 else F.lit(0.0)
     stats = store(stats.select("term", "df", F.greatest(F.lit(0.0), 1 - share).alias("g")), "termstats")
     strong = each.where(F.col("tf") >= min_tf) if min_tf > 1 else each
-    often = stats.where(F.col("df") > hot)  # at most (pairs / hot) rows
-    few = int(often.count()) <= 1_000_000
-    if few:
-        names = F.broadcast(often)
-        cold = strong.join(F.broadcast(often.select("term")), "term", "left_anti")
-        met = cold.join(stats.where(F.col("df") <= hot), "term").unionByName(strong.join(names, "term"))
-    else:
-        met = strong.join(stats, "term")
+    often = stats.where(F.col("df") > F.lit(max(hot, int(stats.agg(F.sum("df")).first()[0] or 0) // HOT_TERMS)))
+    cold = strong.join(F.broadcast(often.select("term")), "term", "left_anti").join(stats, "term")
+    met = cold.unionByName(strong.join(F.broadcast(often), "term"))
     return met.select(*keys, "term", "tf", "df", (F.log2(1 + F.col("tf")) * F.col("g")).alias("weight"))
 
 

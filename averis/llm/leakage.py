@@ -1,9 +1,13 @@
 """Problem 9: passages of held-out items inside corpus documents.
 
-The normalised 12-grams of the test items form a hash set that is broadcast block by block (each block's texts have a
-checked size); every document is scanned as a sequence of words with their place in the raw text, runs of words known
-to the items are looked up window by window, and a window found is an exact match of words, so a hit is verified as it
-is found. Hits give (document, item) and the spans to remove.
+The normalised 12-grams of the test items become a table with 64-bit hashes, built once. Where it has at most
+``MAX_GRAMS`` hashes they are broadcast as one sorted array; every document is then scanned once, all windows of a batch
+of documents being hashed and looked up together. Above that bound the windows of the documents are joined with the
+grams instead. A window found is only a candidate: it meets the item's gram by its hash and is verified letter by letter.
+Hits give (document, item) and the spans to remove.
+
+Words are compared in the form of problem 10: the hash is taken over prototypes in which letters that may be read for
+each other are folded, and the verification reads a letter drawn like several (see ``lookalike``) as each of them.
 
 Defined results: null and empty texts have no words; an item of fewer than ``n`` words leaks nowhere; a document is
 reported once per item; repeated items are reported each under their own id; any other columns are ignored.
@@ -14,94 +18,109 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from averis.llm.lookalike import SPECIAL, Speller
+from averis.llm.lookalike import EITHER, SPECIAL, reading
+from averis.session import store
 
-#: Bytes of item text per broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Hashes of item grams that are broadcast (8 bytes each).
+MAX_GRAMS = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _RUN = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}]+")
+_HIT = "array<struct<h:bigint,gram:string,lo:int,hi:int>>"
+
 
+def words(text: str) -> list[str]:
+    """Words of the one form of ``text``, lower-cased."""
+    return _WORD.findall((reading(text) if SPECIAL.search(text) else text).lower())
 
-def words(text: str, speller: Speller) -> list[tuple[str, int, int]]:
-    """Words of the one form of ``text``, lower-cased, with the raw span each comes from."""
+
+def placed(text: str) -> list[tuple[str, int, int]]:
+    """The same words, each with the raw span it comes from."""
     if not SPECIAL.search(text):
-        return [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    form = speller.form
-    return [(w.lower(), m.start(), m.end()) for m in _RUN.finditer(text) for w in _WORD.findall(form(m.group()))]
-
-
-class Grams:
-    """12-grams of a block of items: word vocabulary and gram -> item ids."""
-
-    def __init__(self, items: list[tuple[int, str]], speller: Speller, n: int):
-        self.n, self.grams, self.vocab = n, {}, set()
-        for item, text in items:
-            ws = [w for w, _, _ in words(text, speller)]
-            for i in range(len(ws) - n + 1):
-                self.grams.setdefault(tuple(ws[i : i + n]), set()).add(item)
-                self.vocab.update(ws[i : i + n])
-
-    def scan(self, ws: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, past the last word) of every window that is a gram."""
-        vocab, grams, n, run = self.vocab, self.grams, self.n, 0
-        for i, (w, _, _) in enumerate(ws):
-            if w not in vocab:
-                run = 0
-                continue
-            run += 1
-            if run >= n:
-                got = grams.get(tuple(x[0] for x in ws[i - n + 1 : i + 1]))
-                if got:
-                    for item in got:
-                        yield item, i - n + 1, i + 1
-
-
-def item_blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[int, str]]]:
-    blocks, size = [[]], 0
-    for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").orderBy("i").toLocalIterator():
-        if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
-        size += 4 * len(r["t"])
-    return blocks
-
-
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, speller: Speller, n: int = 12) -> DataFrame:
-    """(doc_id, item_id, spans): leaked items of each document with the raw spans [start, end) in code points, merged."""
+        low = text.lower()
+        return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
+    return [(w, m.start(), m.end()) for m in _RUN.finditer(text) for w in words(m.group())]
+
+
+class _Hashes(dict):
+    """word -> hash of the word with letters that may be read for each other folded."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w.replace("i", "l").replace(EITHER, "l"))
+        return h
+
+
+def windows(texts: list[list[str]], n: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first word) of every window of ``n`` words that lies within one text."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.fromiter((hashes[w] for t in texts for w in t), dtype=np.uint64, count=int(sizes.sum()))
+    if len(flat) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.zeros(len(flat) - n + 1, dtype=np.uint64)
+    for j in range(n):
+        at += flat[j : j + len(at)] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(owner[: len(at)] == owner[n - 1 :])
+    first = np.cumsum(sizes) - sizes
+    return at[inside].view(np.int64), owner[inside], inside - first[owner[inside]]
+
+
+def _scanner(n: int, grams):
+    """Arrow function: text -> its windows whose hash is in the broadcast ``grams`` (None: all its windows)."""
+
+    @F.pandas_udf(_HIT)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, hashes = None if grams is None else grams.value, _Hashes()
+        for s in batches:
+            h, owner, first = windows([words(t) for t in s], n, hashes)
+            if known is not None and len(known):
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                h, owner, first = h[hit], owner[hit], first[hit]
+            out: list[list] = [[] for _ in range(len(s))]
+            texts, ws, last = list(s), [], -1
+            for x, d, i in zip(h.tolist(), owner.tolist(), first.tolist()):
+                if d != last:
+                    ws, last = placed(texts[d]), d
+                out[d].append((x, " ".join(w for w, _, _ in ws[i : i + n]), ws[i][1], ws[i + n - 1][2]))
+            yield pd.Series(out, dtype=object)
+
+    return scan
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two lower-cased readings are the same letter by letter."""
+    either = (EITHER + "i", EITHER + "l", "i" + EITHER, "l" + EITHER)
+    return a == b or (len(a) == len(b) and all(x == y or x + y in either for x, y in zip(a, b)))
+
+
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 12) -> DataFrame:
+    """(doc_id, item_id, spans): leaked items of each document with the raw spans [start, end) in code points, sorted."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    out = None
-    sc = docs.sparkSession.sparkContext
-    for block in item_blocks(items, item_id, item_text):
-        shared = sc.broadcast((block, speller.counts))
-
-        @F.pandas_udf("array<struct<item_id:bigint,spans:array<array<int>>>>")
-        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            items, counts = shared.value  # noqa: B023
-            sp = Speller(counts)
-            grams = Grams(items, sp, n)
-            for s in batches:
-                got = []
-                for t in s:
-                    ws = words(t, sp)
-                    hits: dict[int, list[list[int]]] = {}
-                    for item, i, j in grams.scan(ws):
-                        spans = hits.setdefault(item, [])
-                        if spans and ws[i][1] <= spans[-1][1]:
-                            spans[-1][1] = ws[j - 1][2]
-                        else:
-                            spans.append([ws[i][1], ws[j - 1][2]])
-                    got.append(list(hits.items()))
-                yield pd.Series(got, dtype=object)
-
-        part = rows.select("doc_id", F.inline(scan("text")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    grams = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    grams = store(grams.select("item_id", F.inline(_scanner(n, None)("text"))).select("item_id", "h", F.col("gram").alias("want")).distinct(), "grams")
+    hashes = grams.select("h").distinct()
+    known = None
+    if hashes.count() <= MAX_GRAMS:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in hashes.collect()], dtype=np.int64)))
+        if not len(known.value):
+            return rows.select("doc_id").limit(0).crossJoin(grams.select("item_id").limit(0)).withColumn("spans", F.array(F.array(F.lit(0))))
+    hits = rows.select("doc_id", F.inline(_scanner(n, known)("text")))
+
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    met = hits.join(grams, "h")
+    met = met.where((F.col("gram") == F.col("want")) | verified("gram", "want"))
+    return met.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans"))
 
 
 def without_spans(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFrame:

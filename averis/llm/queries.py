@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from averis.functions.names import pair_key, pair_side, speaker_key, split_key
 from averis.llm import distinct, leakage, lookalike, packing, pieces, pii, reading, sentences, splits
 from averis.plans.delivery import _SPLIT, sql_side
-from averis.session import table
+from averis.session import store, table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -54,7 +54,7 @@ def p3_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = distinct.log_entropy(sides(spark, sf_dir), ["case_id", "side"], "text", min_tf=4)
-    return w.where("df <= 8 AND weight > 0").select("case_id", "side", "term")
+    return w.where("df <= 8").select("case_id", "side", "term")
 
 
 # ---- 4 ----
@@ -111,16 +111,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- 9, 10 ----
-def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    speller = lookalike.fit_speller(docs, "text")
-    return leakage.leaks(docs, "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "text", speller).select("doc_id", "item_id")
+    return docs, leakage.leaks(docs, "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)[1].select("doc_id", "item_id")
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    speller = lookalike.fit_speller(docs, "text")
-    found = leakage.leaks(docs, "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "text", speller)
+    docs, found = _leaks(spark, sf_dir)
     return leakage.without_spans(docs, "doc_id", "text", found)
 
 
@@ -129,12 +130,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.alike_pairs(docs, "doc_id", "text", lookalike.fit_speller(docs, "text"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of alike texts and its class of equal texts, each named by its smallest id."""
+    docs = table(spark, sf_dir, "documents")
+    c = store(lookalike.alike_classes(docs, "doc_id", "text", lookalike.fit_speller(docs, "text")), "classes")
+    first = lambda k, out: c.groupBy(k).agg(F.min("id").alias(out))
+    return c.join(first("form", "form_id"), "form").join(first("text", "text_id"), "text").select(F.col("id").alias("doc_id"), "form_id", "text_id")
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lookalike.with_form(docs, "text", "form", lookalike.fit_speller(docs, "text")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_weights, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_masked, p7_found, p7_levels, p8_found, p8_packed, p9_found, p9_clean, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_weights, p4_found, p4_sentences, p5_found, p5_pieces, p6_found, p6_masked, p7_found, p7_levels, p8_found, p8_packed, p9_found, p9_clean, p10_found, p10_classes, p10_forms)}
 
 _SIDES = "(SELECT case_id, 'known' AS side, known AS text FROM read_corpus_sorted UNION ALL SELECT case_id, 'unknown', unknown FROM read_corpus_sorted)"
 _TERMS = f"""t AS (SELECT case_id, side, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS term FROM {_SIDES} WHERE text IS NOT NULL),
@@ -165,6 +174,7 @@ def _form_sql(c: str) -> str:
 
 _DOC_FORMS = f"f AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL)"
 SQL["p10_found"] = f"WITH {_DOC_FORMS} SELECT a.doc_id AS doc_lo, b.doc_id AS doc_hi FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+SQL["p10_classes"] = f"WITH {_DOC_FORMS} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS form_id, min(doc_id) OVER (PARTITION BY text) AS text_id FROM f"
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _GRAM = "SELECT DISTINCT {0}, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, greatest(1, len(w) - 10))) AS i FROM {1})"
 SQL["p9_found"] = f"""WITH {_DOC_FORMS}, dw AS (SELECT doc_id, {_WORDS.format('form')} AS w FROM f), iw AS (SELECT item_id, {_WORDS.format(_form_sql('text'))} AS w FROM heldout_items WHERE text IS NOT NULL),

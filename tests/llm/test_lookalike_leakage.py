@@ -57,10 +57,54 @@ def test_leaks(spark):
     docs = [(1, "Vorher. " + item.upper().replace(" ", ", ") + " nachher."), (2, " ".join(WORDS[:11])), (3, "x " + item.replace("e", "е") + " y"), (4, None), (5, ""), (6, " ".join(WORDS[1:]) + " " + " ".join(WORDS[1:])), (7, "wort " * 50_000)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(0))
     items = spark.createDataFrame([(10, item), (11, item + " extra"), (12, " ".join(WORDS[:5])), (13, None)], "item_id bigint, text string")
-    sp = K.fit_speller(df, "text")
-    found = L.leaks(df, "doc_id", "text", items, "item_id", "text", sp).cache()
+    found = L.leaks(df, "doc_id", "text", items, "item_id", "text").cache()
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, i) for d in (1, 3, 6) for i in (10, 11)}
     clean = {r.doc_id: r.text for r in L.without_spans(df, "doc_id", "text", found).collect()}
     assert clean[1] == "Vorher.  nachher." and clean[3] == "x  y" and clean[2] == docs[1][1] and clean[4] is None and clean[6].strip() == ""
-    assert L.leaks(df.limit(0), "doc_id", "text", items, "item_id", "text", sp).count() == 0
-    assert L.leaks(df, "doc_id", "text", items.limit(0), "item_id", "text", sp).count() == 0
+    assert L.leaks(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+    assert L.leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def test_leaks_by_join_and_letter_by_letter(spark, monkeypatch):
+    item = "Die " + " ".join(WORDS)
+    hard = item.replace("drei", "wolle").replace("eins", "Insel")
+    docs = [(1, item), (2, hard.replace("wolle", "wo\u04cf\u04c0e").replace("Insel", "\u04c0nsel")), (3, hard.replace("wolle", "woIIe"), ), (4, "kurz")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, item), (11, hard)], "item_id bigint, text string")
+    want = {(1, 10), (2, 11)}
+    assert {(r.doc_id, r.item_id) for r in L.leaks(df, "doc_id", "text", items, "item_id", "text").collect()} == want
+    monkeypatch.setattr(L, "MAX_GRAMS", 0)
+    assert {(r.doc_id, r.item_id) for r in L.leaks(df, "doc_id", "text", items, "item_id", "text").collect()} == want
+
+
+def test_windows_against_brute_force():
+    texts = [["a", "b", "c", "d"], [], ["b", "c"], ["a", "b", "c"], ["x"]]
+    h, owner, first = L.windows(texts, 3, L._Hashes())
+    assert list(zip(owner, first)) == [(0, 0), (0, 1), (3, 0)] and h[0] == h[2] != h[1]
+    assert all(len(x) == 0 for x in L.windows([["a"]], 3, L._Hashes()))
+
+
+def test_words_and_places_agree():
+    for t in ("Ein  Wort_und 12 mehr.", "h\u200beu\u0308te ｆｕｌｌ ﬁrm", "рeйки ​ \u200b- x", "はい 漢字と で"):
+        assert [w for w, _, _ in L.placed(t)] == L.words(t)
+
+
+def test_the_vocabulary_decides_ambiguous_letters(spark, monkeypatch):
+    """The palochka is drawn like I and l: the trie tells which, the table alone could not."""
+    rows = [(1, "Der Wolf kam"), (2, "Der Wo\u04c0f kam"), (3, "Eine Insel"), (4, "Eine \u04c0nsel"), (5, "столы и стулья"), (6, "cтoлы и cтулья"), (7, "wo\u04cff"), (8, "столы")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    pairs = lambda sp: {(r.doc_lo, r.doc_hi) for r in K.alike_pairs(df, "id", "text", sp).collect()}
+    sp = K.fit_speller(df, "text")
+    assert pairs(sp) == {(1, 2), (3, 4), (5, 6)}
+    off = K.Spelling(sp.table.limit(0), 0)
+    assert pairs(off) == {(3, 4), (5, 6)}
+    forms = {r.id: r.form for r in K.with_form(df, "text", "form", sp).collect()}
+    assert forms[2] == "Der Wolf kam" and forms[6] == "столы и стулья"
+    monkeypatch.setattr(K, "MAX_SPELLINGS", 0)
+    assert {r.id: r.form for r in K.with_form(df, "text", "form", sp).collect()} == forms
+    monkeypatch.setattr(K, "BUCKET", 2)
+    assert pairs(K.fit_speller(df, "text")) == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_blanks_before_a_break():
+    assert SPELLER.form("a  \nb") == SPELLER.form("a\n   b") == SPELLER.form("a\nb") != SPELLER.form("a b")
