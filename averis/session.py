@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,14 @@ def store(df: DataFrame, name: str = "t", partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+    """``store`` and the number of rows, observed while they are written. A task that ran twice may count twice, so the
+    number tells an empty table from others and how large it is about."""
+    seen = Observation()
+    kept = store(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return kept, int(seen.get["n"])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores: rows of an input with fewer partitions than cores are dealt out; others stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
