@@ -3,12 +3,12 @@
 Records that share a key (a speaker on either side, a video) belong together. Keys are the vertices of a graph, a
 record joins its keys in a star, and random-mate contraction finds the components: each round every vertex draws a coin
 from a hash, tails collapse into their smallest head neighbour, edges are relabelled, loops and copies go, until no
-edge is left. Every collapse is written down; unwinding follows it back by pointer doubling. All of it is SQL joins;
-each round is cut by a table written in the shared folder. A key in a third of all records is one vertex; its edges are
+edge is left. The collapses of a round follow from its edges; unwinding follows them back by pointer doubling. All of it
+is SQL joins; the edges of each round are written to a table in the shared folder and counted as they are written. A key in a third of all records is one vertex; its edges are
 made distinct before the first join and those of one side collapse as soon as it draws heads. Skewed join sides are
 left to adaptive skew handling, whose other side is unique here.
 
-Vertices are 64-bit hashes of "kind:key"; a collision could only merge two groups, never tear one.
+Vertices are the keys themselves, "kind:key", so groups are exact.
 
 Splits: components in the order of falling size class and hash are cut where their cumulative weight passes the given
 proportions. The cumulative weight is computed in two levels (sums of at most ``2**12`` hash ranges per size class, then
@@ -24,34 +24,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from averis.session import store
+from averis.session import store, store_counted
 
 MAX_ROUNDS = 200
 
 
 def contract(edges: DataFrame, seed: int = 1) -> DataFrame:
-    """(v, root) for every vertex that was collapsed; vertices not listed are roots. ``edges``: BIGINT u, v."""
+    """(v, root) for every vertex that was collapsed; vertices not listed are roots. ``edges``: STRING u, v."""
     lo, hi = F.least("u", "v"), F.greatest("u", "v")
-    edges = store(edges.select(lo.alias("u"), hi.alias("v")).where("u <> v").distinct())
-    moved = None
-    for r in range(MAX_ROUNDS):
-        if edges.isEmpty():
-            break
-        heads = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed * 1000 + r)), F.lit(2)) == 1  # noqa: B023, E731
+    edges, n = store_counted(edges.select(lo.alias("u"), hi.alias("v")).where("u <> v").distinct(), "edges")
+    rounds = []
+    while n:
+        if len(rounds) == MAX_ROUNDS:
+            raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
+        heads = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed * 1000 + len(rounds))), F.lit(2)) == 1  # noqa: B023, E731
         tail = F.when(heads("u") & ~heads("v"), F.col("v")).when(heads("v") & ~heads("u"), F.col("u"))
         head = F.when(tail == F.col("u"), F.col("v")).otherwise(F.col("u"))
-        moves = store(edges.select(tail.alias("t"), head.alias("h")).where("t IS NOT NULL").groupBy("t").agg(F.min("h").alias("h")))
+        moves = edges.select(tail.alias("t"), head.alias("h")).where("t IS NOT NULL").groupBy("t").agg(F.min("h").alias("h"))
         a, b = moves.select(F.col("t").alias("u"), F.col("h").alias("hu")), moves.select(F.col("t").alias("v"), F.col("h").alias("hv"))
         new = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("hu", "u").alias("u"), F.coalesce("hv", "v").alias("v"))
-        edges = store(new.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        moved = moves if moved is None else moved.unionByName(moves)
-    else:
-        raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
-    if moved is None:
+        edges, n = store_counted(new.where("u <> v").select(lo.alias("u"), hi.alias("v")).distinct(), "edges")
+        rounds.append(moves)
+    if not rounds:
         return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).limit(0)
+    moved = rounds[0]
+    for m in rounds[1:]:
+        moved = moved.unionByName(m)
     at = store(moved.select(F.col("t").alias("v"), F.col("h").alias("root")))
     reach = 1
-    while reach <= r:  # a chain is at most as long as there were rounds
+    while reach < len(rounds):  # a chain is at most as long as there were rounds
         up = at.select(F.col("v").alias("root"), F.col("root").alias("above"))
         at = store(at.join(up, "root", "left").select("v", F.coalesce("above", "root").alias("root")))
         reach *= 2
@@ -59,13 +60,13 @@ def contract(edges: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def vertex(kind: str, key: Column) -> Column:
-    return F.xxhash64(F.concat(F.lit(kind + ":"), key))
+    return F.concat(F.lit(kind + ":"), key)
 
 
 def components(records: DataFrame, row_id: str, keys: Column) -> DataFrame:
-    """(row_id, root): the group of each record. ``keys``: ARRAY<BIGINT> of vertices, without nulls; a record without
-    keys has its own id's hash as group."""
-    own = F.xxhash64(F.concat(F.lit("row:"), F.col(row_id).cast("string")))
+    """(row_id, root): the group of each record. ``keys``: ARRAY<STRING> of vertices, without nulls; a record without
+    keys has its own id as group."""
+    own = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
     k = records.select(F.col(row_id), F.array_sort(F.array_distinct(keys)).alias("k")).select(row_id, F.when(F.size("k") > 0, F.col("k")).otherwise(F.array(own)).alias("k"))
     k = store(k)
     stars = k.select("k").distinct().where(F.size("k") > 1).select(F.col("k")[0].alias("u"), F.explode(F.slice("k", 2, 1 << 30)).alias("v"))

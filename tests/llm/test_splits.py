@@ -52,8 +52,18 @@ def test_empty(spark):
 
 def test_assignment_keeps_groups_and_proportions(spark):
     rows = [(i, f"g{i % 200}" if i > 300 else "giant") for i in range(1000)]
-    g = spark.createDataFrame(rows, "id bigint, root string").withColumn("root", F.xxhash64("root"))
+    g = spark.createDataFrame(rows, "id bigint, root string")
     a = S.assign(g, "id", {"train": 8, "validation": 1, "test": 1}).cache()
     assert a.groupBy("root").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     n = {r["split"]: r["count"] for r in a.groupBy("split").count().collect()}
     assert a.count() == 1000 and abs(n["train"] - 800) < 40 and abs(n["test"] - 100) < 40
+
+
+def test_many_seeds_and_a_hub(spark):
+    rng = random.Random(5)
+    edges = [("hub", f"x{i}") for i in range(300)] + [(f"a{i}", f"a{rng.randint(0, i - 1)}") for i in range(1, 60)]
+    df = spark.createDataFrame(edges, "u string, v string")
+    for seed in (1, 2):
+        roots = {r.v: r.root for r in S.contract(df, seed).collect()}
+        assert len({roots.get(v, v) for v in ["hub", *[f"x{i}" for i in range(300)]]}) == 1
+        assert len({roots.get(f"a{i}", f"a{i}") for i in range(60)}) == 1
