@@ -72,14 +72,20 @@ def kfold(authors: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
 
 
 def learning_curve(cases: DataFrame, sizes: list[int], draws: int, seed: int = 11) -> DataFrame:
-    """``draws`` subsamples of ``n`` training cases per (masking, topic), n up to the number there is."""
+    """Draws 1..``draws`` of ``n`` training cases per (masking, topic), n up to the number there is. Ranks come from counts
+    per hash range, so no topic sits in one task."""
     key = ["masking", "topic"]
     n = cases.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
-    grid = n.withColumn("n", F.explode(F.array(*[F.lit(s) for s in sizes]))).where("n <= total").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    grid = n.withColumn("n", F.explode(F.array(*[F.lit(s) for s in sizes]))).where("n <= total").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     tag = F.crc32(F.concat_ws("|", F.lit(str(seed)), "masking", "topic", F.col("n").cast("string"), F.col("draw").cast("string")).cast("binary"))
     d = cases.join(F.broadcast(grid.withColumn("tag", tag)), key)
-    w = Window.partitionBy(*key, "n", "draw").orderBy(F.md5(F.concat_ws("|", F.col("tag").cast("string"), F.col("case_id").cast("string")).cast("binary")), "case_id")
-    return d.withColumn("r", F.row_number().over(w)).where("r <= n").select(*key, "n", "draw", "case_id")
+    h = F.md5(F.concat_ws("|", F.col("tag").cast("string"), F.col("case_id").cast("string")).cast("binary"))
+    d = d.select(*key, "n", "draw", "case_id", h.alias("h"), F.substring(h, 1, 2).alias("range"))
+    cell = [*key, "n", "draw"]
+    counts = d.groupBy(*cell, "range").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.select(*cell, "range", (F.sum("c").over(Window.partitionBy(*cell).orderBy("range")) - F.col("c")).alias("base")).where(F.col("base") < F.col("n"))
+    r = F.row_number().over(Window.partitionBy(*cell, "range").orderBy("h", "case_id"))
+    return d.join(before, [*cell, "range"]).withColumn("r", r + F.col("base")).where("r <= n").select(*cell, "case_id")
 
 
 def structure(cases: DataFrame) -> DataFrame:

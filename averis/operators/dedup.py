@@ -2,14 +2,14 @@
 
 An identifier is brought to 128 bits (two BIGINT words, the two halves of an MD5 digest of its length-prefixed fields).
 A Feistel network, invertible whatever its round function, permutes the 128 bits so that any skew of the identifiers
-is gone. The leading ``quotient_bits`` of the permuted identifier are the quotient and name the shard of the table;
-the remainder, stored whole, is the key inside the shard. Because the permutation is a bijection and nothing of the
-remainder is dropped, two rows meet in one slot exactly if their 128-bit identifiers are equal: there are no false
-matches as in a filter. Each slot keeps one row id. Insertion is a hash aggregation, so copies within a map task are
-merged before the shuffle and a hot identifier costs one slot per task.
-
-``check=True`` proves, for these data, that the digest itself did not merge different identifiers: it compares the
-smallest and largest of a second, independent 64-bit hash in each slot and separates any slot where they differ.
+is gone. The leading ``quotient_bits`` of the permuted identifier are the quotient, which names the table's shard and
+comes first in its key; the remainder, stored whole, follows. The permutation is a bijection and nothing of the remainder
+is dropped, so two rows meet in one slot exactly if their 128-bit identifiers are equal. With ``exact`` the slot also
+holds the identifier as it was before the digest, as the last part of its key, so that even identifiers of one digest
+stay apart: there are no false matches at all. Without it fewer bytes are moved and equality is that of digests.
+
+Insertion is a hash aggregation: copies within a map task are merged before the shuffle, so a hot identifier costs one
+slot per task, and a slot takes its identifier once.
 """
 
 from __future__ import annotations
@@ -49,26 +49,26 @@ def unpermuted(hi: Column, lo: Column, rounds: int = ROUNDS) -> tuple[Column, Co
     return hi, lo
 
 
-def quotient_table(df: DataFrame, keys: Sequence[Column], row_id: str, quotient_bits: int = 16, keep: str = "last", check: bool = True) -> DataFrame:
+def quotient_table(df: DataFrame, keys: Sequence[Column], row_id: str, quotient_bits: int = 16, keep: str = "last", exact: bool = True) -> DataFrame:
     """One row per identifier: quotient INT, remainder (rem_hi, rem_lo), kept row id, number of copies.
 
     Nulls in a key field are a value of their own. Rows whose ``row_id`` is null are never kept unless all copies have
     none. An empty table gives an empty table. Column names of ``df`` do not matter: only expressions are read.
     """
     rows = df.select(_framed(keys).alias("_f"), F.col(row_id).cast("bigint").alias("_id"))
-    rows = rows.select(F.md5(F.col("_f").cast("binary")).alias("_d"), F.xxhash64("_f").alias("_c"), "_id")
+    own = ["_f"] if exact else []
+    rows = rows.select(F.md5(F.col("_f").cast("binary")).alias("_d"), *own, "_id")
     word = lambda a: F.conv(F.substring("_d", a, 16), 16, -10).cast("bigint")
-    rows = rows.select(word(1).alias("_h"), word(17).alias("_l"), "_c", "_id")
+    rows = rows.select(word(1).alias("_h"), word(17).alias("_l"), *own, "_id")
     for r in range(ROUNDS):
-        rows = rows.select(F.col("_l").alias("_h"), F.col("_h").bitwiseXOR(F.xxhash64(F.col("_l"), F.lit(r))).alias("_l"), "_c", "_id")
+        rows = rows.select(F.col("_l").alias("_h"), F.col("_h").bitwiseXOR(F.xxhash64(F.col("_l"), F.lit(r))).alias("_l"), *own, "_id")
     mask = (1 << (64 - quotient_bits)) - 1
     rows = rows.select(
         F.shiftrightunsigned("_h", 64 - quotient_bits).cast("int").alias("quotient"),
-        F.col("_h").bitwiseAND(F.lit(mask)).alias("rem_hi"), F.col("_l").alias("rem_lo"), "_c", "_id",
+        F.col("_h").bitwiseAND(F.lit(mask)).alias("rem_hi"), F.col("_l").alias("rem_lo"), *own, "_id",
     )
     best = F.max("_id") if keep == "last" else F.min("_id")
-    slots = ["quotient", "rem_hi", "rem_lo"] + (["_c"] if check else [])
-    return rows.groupBy(*slots).agg(best.alias("kept"), F.count(F.lit(1)).alias("copies")).drop("_c")
+    return rows.groupBy("quotient", "rem_hi", "rem_lo", *own).agg(best.alias("kept"), F.count(F.lit(1)).alias("copies")).drop("_f")
 
 
 def redelivered(df: DataFrame, keys: Sequence[Column], row_id: str, keep: str = "last", **kw) -> DataFrame:

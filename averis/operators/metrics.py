@@ -71,7 +71,8 @@ def eer_threshold(df: DataFrame, by: list[str], score: str = "score", truth: str
 
 def accuracy_threshold(df: DataFrame, by: list[str], ends: tuple[float, float] | None = (-1.0, 1.0), score: str = "score", truth: str = "y_true") -> DataFrame:
     """First candidate with the best accuracy for ``score > t``; candidates are midpoints of neighbouring distinct scores
-    and two ends: the fixed ones, or (``ends=None``) 0.001 beyond the smallest and largest score."""
+    and two ends: the fixed ones, or (``ends=None``) 0.001 below the smallest score and half of that above the largest,
+    the first midpoint beyond all scores where 0.001 above the largest is an end too."""
     d = by_score(df, by, score, truth)
     if ends:
         low = d.select(*by).distinct()
@@ -81,7 +82,7 @@ def accuracy_threshold(df: DataFrame, by: list[str], ends: tuple[float, float] |
     run, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
     d = d.select(*by, "score", F.lead("score").over(w).alias("next"), F.row_number().over(w).alias("i"), F.sum("neg").over(run).alias("tn"), F.sum("pos").over(run).alias("fn"), F.sum("pos").over(whole).alias("p"), F.sum(F.col("pos") + F.col("neg")).over(whole).alias("n"), (F.col("pos") + F.col("neg")).alias("own"), "pos", "neg")
     right = F.col("tn") + F.col("p") - F.col("fn")
-    cand = F.struct((-right).alias("loss"), ((F.col("score") + F.col("next")) / 2 if ends else F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + 0.001)).alias("t"))
+    cand = F.struct((-right).alias("loss"), ((F.col("score") + F.col("next")) / 2 if ends else F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + 0.0005)).alias("t"))
     first = F.struct((-(F.col("tn") - F.col("neg") + F.col("p") - F.col("fn") + F.col("pos"))).alias("loss"), (F.lit(ends[0]) if ends else F.col("score") - 0.001).alias("t"))
     firsts = [first]
     if ends:  # each fixed end is a candidate wherever the scores lie: rows at or below it are called negative
@@ -97,3 +98,11 @@ def decide(df: DataFrame, thresholds: DataFrame, by: list[str], strict: bool = F
     """``y_hat`` by the group's threshold: ``>=`` or, if ``strict``, ``>``; null without a threshold or score."""
     d = df.join(thresholds.select(*by, "threshold"), by, "left")
     return d.withColumn("y_hat", ((F.col(score) > F.col("threshold")) if strict else (F.col(score) >= F.col("threshold"))).cast("int"))
+
+
+def interpretability(s: Column, residual: Column, same: Column) -> Column:
+    """Share of a decision that rests on the interpretable similarity ``s``: (1 + s or 1 - s) over itself and the size of the
+    predicted residual, by the predicted class; 0 where both are 0."""
+    num = F.when(same, 1 + s).otherwise(1 - s)
+    den = num + F.abs(residual)
+    return F.when(den == 0, 0.0).otherwise(num / den)

@@ -11,6 +11,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,15 @@ VARIANTS = ("a", "b", "c", "d", "e")
 
 
 class PPM:
-    """Adaptive order-k character model; each context keeps its symbol counts, their total and number, so coding a
-    symbol costs the number of contexts and no scan of a context's symbols (but with exclusion)."""
+    """Adaptive order-k character model. Contexts are the nodes of a trie that grows to the right: the child of a context by
+    a symbol is the context one symbol on, and how often it was entered is the symbol's count. So one lookup gives a
+    symbol's count in a context and the context that follows. Node: [times entered, symbols coded in it, children]."""
 
     def __init__(self, order: int = 5, variant: str = "d", exclusion: bool = False, alphabet: int = 256):
         if variant not in VARIANTS:
             raise ValueError(f"unknown variant {variant!r}")
         self.order, self.variant, self.exclusion, self.alphabet = order, variant, exclusion, alphabet
-        self.contexts: dict[str, dict[str, int]] = {}
-        self.totals: dict[str, int] = {}
+        self.root: list = [0, 0, {}]
 
     def _shares(self, ns: int, n: int, u: int) -> tuple[float | None, float]:
         """Probability of a symbol seen ns times (None: it does not qualify) and of escaping, n in all, u distinct."""
@@ -46,57 +47,80 @@ class PPM:
             return ((2 * ns - 1) / (2 * n) if ns else None), u / (2 * n)
         return ((4 * ns - 2) / (4 * n - 1) if ns else None), (2 * u - 1) / (4 * n - 1)
 
-    def code(self, text: str) -> list[float]:
+    def code(self, text: str) -> np.ndarray:
         """-ln p of each symbol; the model has learned the text afterwards. Contexts start anew with each text."""
-        out = []
-        contexts, totals, k = self.contexts, self.totals, self.order
-        for i, s in enumerate(text):
-            p, barred = 1.0, set()
-            histories = [text[i - o : i] for o in range(min(k, i), -1, -1)]
-            for h in histories:
-                seen = contexts.get(h)
-                if not seen:
-                    continue
-                if self.exclusion and barred:
-                    live = {c: m for c, m in seen.items() if c not in barred}
-                    n, u = sum(live.values()), len(live)
-                    if not n:
-                        continue
+        return -np.log(np.array(self._plain(text) if self.variant == "d" and not self.exclusion else self._general(text), dtype=float))
+
+    def _plain(self, text: str) -> list[float]:
+        out, root, depth, last = [], self.root, self.order + 1, 1 / self.alphabet
+        live = [root]  # contexts of the place, longest first
+        for s in text:
+            p, open_, after = 1.0, True, []
+            for node in live:
+                kids, n = node[2], node[1]
+                kid = kids.get(s)
+                if kid is None:
+                    if open_ and n:
+                        p *= len(kids) / (2 * n)
+                    kids[s] = kid = [1, 0, {}]
                 else:
-                    n, u = totals[h], len(seen)
-                hit, escape = self._shares(seen.get(s, 0), n, u)
-                if hit is not None:
-                    p *= hit
-                    break
-                p *= escape
-                if self.exclusion:
-                    barred.update(c for c, m in seen.items() if m > (1 if self.variant in "bc" else 0))
-            else:
-                p /= self.alphabet
-            out.append(-math.log(p))
-            for h in histories:
-                seen = contexts.setdefault(h, {})
-                seen[s] = seen.get(s, 0) + 1
-                totals[h] = totals.get(h, 0) + 1
+                    if open_:
+                        p *= (2 * kid[0] - 1) / (2 * n)
+                        open_ = False
+                    kid[0] += 1
+                node[1] = n + 1
+                after.append(kid)
+            out.append(p * last if open_ else p)
+            after.append(root)
+            live = after if len(after) <= depth else after[1:]
+        return out
+
+    def _general(self, text: str) -> list[float]:
+        out, root, depth = [], self.root, self.order + 1
+        live = [root]
+        floor = 1 if self.variant in "bc" else 0
+        for s in text:
+            p, open_, barred, after = 1.0, True, set(), []
+            for node in live:
+                kids, n = node[2], node[1]
+                kid = kids.get(s)
+                if open_ and n:
+                    u = len(kids)
+                    if barred:
+                        left = [k[0] for c, k in kids.items() if c not in barred]
+                        n, u = sum(left), len(left)
+                    if n:
+                        hit, escape = self._shares(kid[0] if kid else 0, n, u)
+                        open_ = hit is None
+                        p *= escape if open_ else hit
+                        if open_ and self.exclusion:
+                            barred.update(c for c, k in kids.items() if k[0] > floor)
+                if kid is None:
+                    kids[s] = kid = [0, 0, {}]
+                kid[0] += 1
+                node[1] += 1
+                after.append(kid)
+            out.append(p / self.alphabet if open_ else p)
+            after.append(root)
+            live = after if len(after) <= depth else after[1:]
         return out
 
 
-def compression_distances(x: str, y: str, measure: str = "cbc", order: int = 5, variant: str = "d") -> tuple[list[float], list[float]]:
+def compression_distances(x: str, y: str, measure: str = "cbc", order: int = 5, variant: str = "d") -> tuple[np.ndarray, np.ndarray]:
     """Per-symbol contributions to the distance in both directions; each sums to the distance of its direction."""
     mx, my = PPM(order, variant), PPM(order, variant)
     cx, cy = mx.code(x), my.code(y)
     cyx, cxy = mx.code(y), my.code(x)
-    sx, sy = sum(cx), sum(cy)
+    sx, sy = float(cx.sum()), float(cy.sum())
     norm = {"cbc": math.sqrt(sx * sy), "ncd": max(sx, sy), "cdm": sx + sy}[measure]
-    part = lambda plain, given: [1 / len(plain) - (a - b) / norm for a, b in zip(plain, given)]
-    return part(cy, cyx), part(cx, cxy)
+    return 1 / len(y) - (cy - cyx) / norm, 1 / len(x) - (cx - cxy) / norm
 
 
 def compression_score(x: str | None, y: str | None, measure: str = "cbc", order: int = 5, variant: str = "d", symmetric: bool = True) -> float | None:
     if not x or not y:
         return None
     a, b = compression_distances(x, y, measure, order, variant)
-    return -(sum(a) + sum(b)) / 2 if symmetric else -sum(a)
+    return -float(a.sum() + b.sum()) / 2 if symmetric else -float(a.sum())
 
 
 def coav(known: Column, unknown: Column, **kw) -> Column:

@@ -21,6 +21,14 @@ def char_wb(text: Column, lo: int, hi: int) -> Column:
     return F.flatten(F.transform(toks, grams))
 
 
+def char_grams(text: Column, lo: int, hi: int) -> Column:
+    """Character n-grams of the whole lower-cased text, two or more blanks in a row counting as one."""
+    x = F.regexp_replace(F.lower(text), r"[ \t\n\r\x{0b}\f\x{85}\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]{2,}", " ")
+    def grams(t: Column) -> Column:
+        return F.concat(*[F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)])  # noqa: B023
+    return F.transform(F.array(x), grams)[0]
+
+
 def array_grams(tokens: Column, lo: int, hi: int, joint: str = " ") -> Column:
     """n-grams over an array of tokens."""
     def grams(a: Column) -> Column:
@@ -68,10 +76,16 @@ def chi2(x: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
     lab = x.join(classes, "doc_id").groupBy("feature", "label").agg(F.sum("value").alias("o"))
     total = lab.groupBy("feature").agg(F.sum("o").alias("t"))
     share = classes.groupBy("label").agg((F.count(F.lit(1)) / n_docs).alias("p"))
-    full = total.join(F.broadcast(share)).join(lab, ["feature", "label"], "left").withColumn("e", F.col("t") * F.col("p"))
+    shares = share.agg(F.collect_list(F.struct("label", "p")).alias("s"))  # one row: the classes with their shares
+    full = total.join(F.broadcast(shares)).select("feature", "t", F.inline("s")).join(lab, ["feature", "label"], "left").withColumn("e", F.col("t") * F.col("p"))
     return full.groupBy("feature").agg(F.sum(F.pow(F.coalesce("o", F.lit(0.0)) - F.col("e"), 2) / F.col("e")).alias("chi2"))
 
 
+def best(chi: DataFrame, top: int = 50_000) -> DataFrame:
+    """The ``top`` features of highest chi2, ties by name."""
+    return chi.orderBy(F.desc("chi2"), "feature").limit(top)
+
+
 def pair_difference(pairs: DataFrame, x: DataFrame) -> DataFrame:
     """(pair_id, feature, value) with |a - b| over the union of both sides' features; zero differences are dropped.
 

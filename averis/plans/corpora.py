@@ -97,6 +97,12 @@ def r11_cross_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.concat("source", F.lit("2"), "target").alias("topic"), "source", "target", "split", "cases")
 
 
+# CRC-32 has no SQL here; the order within a draw follows from it, so only sizes and draw numbers have
+@query("WITH n AS (SELECT masking, topic, count(*) AS total FROM read_corpus_sorted GROUP BY ALL) SELECT masking, topic, n, draw, n AS cases FROM (SELECT *, unnest([5, 10, 20, 30, 40]) AS n FROM n), (SELECT unnest(range(1, 11)) AS draw) WHERE n <= total")
+def r12_draw_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r12_learning_curve(spark, sf_dir).groupBy("masking", "topic", "n", "draw").agg(F.countDistinct("case_id").alias("cases"))
+
+
 @query(None)
 def r12_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "read_corpus_sorted").select("masking", "topic", "case_id")
@@ -168,15 +174,15 @@ def r18_graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(e.groupBy("topic").agg(F.count(F.lit(1)).alias("edges")), "topic").select("topic", "speakers", "edges", "max_degree", "of_degree_2", ((F.col("lo") == 2) & (F.col("max_degree") == 2) & (F.col("edges") == F.col("speakers"))).alias("all_rings"))
 
 
-@query(f"""WITH {_CASES}, t AS (SELECT topic, ka AS s, count(DISTINCT md5(known)) AS texts FROM c WHERE known IS NOT NULL AND masking='original' GROUP BY ALL), a AS (SELECT topic, sum(texts) AS total FROM t GROUP BY topic)
-SELECT case_id, (total - coalesce(x.texts, 0) - CASE WHEN ka <> ua THEN coalesce(y.texts, 0) ELSE 0 END)::BIGINT AS reference_texts FROM c JOIN a USING (topic) LEFT JOIN t x ON x.topic=c.topic AND x.s=ka LEFT JOIN t y ON y.topic=c.topic AND y.s=ua WHERE masking='original'""")
+@query(f"""WITH {_CASES}, t AS (SELECT masking, topic, ka AS s, count(DISTINCT md5(known)) AS texts FROM c WHERE known IS NOT NULL GROUP BY ALL), a AS (SELECT masking, topic, sum(texts) AS total FROM t GROUP BY ALL)
+SELECT case_id, (total - coalesce(x.texts, 0) - CASE WHEN ka <> ua THEN coalesce(y.texts, 0) ELSE 0 END)::BIGINT AS reference_texts FROM c JOIN a ON a.masking=c.masking AND a.topic=c.topic LEFT JOIN t x ON x.masking=c.masking AND x.topic=c.topic AND x.s=ka LEFT JOIN t y ON y.masking=c.masking AND y.topic=c.topic AND y.s=ua""")
 def r16_reference_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each case's reference population (texts of all other speakers), by subtraction instead of a theta join."""
-    c = cases(spark, sf_dir).where("masking = 'original'")
-    t = c.where("known IS NOT NULL").select("topic", F.col("ka").alias("s"), F.md5(F.col("known").cast("binary")).alias("k")).distinct().groupBy("topic", "s").agg(F.count(F.lit(1)).alias("texts"))
-    a = t.groupBy("topic").agg(F.sum("texts").alias("total"))
-    own = lambda side, out: t.select("topic", F.col("s").alias(side), F.col("texts").alias(out))
-    j = c.join(a, "topic").join(own("ka", "x"), ["topic", "ka"], "left").join(own("ua", "y"), ["topic", "ua"], "left")
+    c, k = cases(spark, sf_dir), ["masking", "topic"]
+    t = c.where("known IS NOT NULL").select(*k, F.col("ka").alias("s"), F.md5(F.col("known").cast("binary")).alias("k")).distinct().groupBy(*k, "s").agg(F.count(F.lit(1)).alias("texts"))
+    a = t.groupBy(*k).agg(F.sum("texts").alias("total"))
+    own = lambda side, out: t.select(*k, F.col("s").alias(side), F.col("texts").alias(out))
+    j = c.join(a, k).join(own("ka", "x"), [*k, "ka"], "left").join(own("ua", "y"), [*k, "ua"], "left")
     return j.select("case_id", (F.col("total") - F.coalesce("x", F.lit(0)) - F.when(F.col("ka") != F.col("ua"), F.coalesce("y", F.lit(0))).otherwise(0)).alias("reference_texts"))
 
 

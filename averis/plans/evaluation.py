@@ -102,7 +102,7 @@ def t01_eer_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _acc_sql(ends: bool) -> str:
     cands = "SELECT DISTINCT topic, masking, method, run, score AS x FROM o" + (" UNION SELECT DISTINCT topic, masking, method, run, -1.0 FROM o UNION SELECT DISTINCT topic, masking, method, run, 1.0 FROM o" if ends else "")
-    more = "UNION ALL SELECT topic, masking, method, run, -1.0 FROM x GROUP BY ALL UNION ALL SELECT topic, masking, method, run, 1.0 FROM x GROUP BY ALL" if ends else "UNION ALL SELECT topic, masking, method, run, min(x)-0.001 FROM x GROUP BY ALL UNION ALL SELECT topic, masking, method, run, max(x)+0.001 FROM x GROUP BY ALL"
+    more = "UNION ALL SELECT topic, masking, method, run, -1.0 FROM x GROUP BY ALL UNION ALL SELECT topic, masking, method, run, 1.0 FROM x GROUP BY ALL" if ends else "UNION ALL SELECT topic, masking, method, run, min(x)-0.001 FROM x GROUP BY ALL UNION ALL SELECT topic, masking, method, run, max(x)+0.0005 FROM x GROUP BY ALL"
     return f"""WITH {BASE}, o AS (SELECT * FROM bp WHERE split='train' AND score IS NOT NULL), x AS ({cands}),
 mid AS (SELECT topic, masking, method, run, (x + lead(x) OVER (PARTITION BY topic, masking, method, run ORDER BY x))/2 AS t FROM x),
 cc AS (SELECT * FROM mid WHERE t IS NOT NULL {more}),
@@ -127,67 +127,127 @@ def t04_fixed_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- resampling ----
-_D = lambda *p: "('0x' || substr(md5(concat_ws('|', " + ", ".join(p) + ")), 1, 8))::BIGINT"
+def _stream(src: str, key: str, reps: int = 1000) -> str:
+    """Clauses that end in ``u``: each row of ``src`` with ``rep`` numbers u in [0, 1), a splitmix64 stream that starts at the
+    digest of ``key``."""
+    wide = lambda a, b: f"(({a})::UHUGEINT * {b}::UHUGEINT)"
+    cut = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""u0 AS (SELECT *, {cut(wide('rep', 11400714819323198485) + f" + ('0x' || substr(md5({key}), 1, 16))::UBIGINT::UHUGEINT")} AS z FROM (SELECT *, unnest(range(1, {reps + 1})) AS rep FROM {src})),
+u1 AS (SELECT * REPLACE ({cut(wide('xor(z, z >> 30::UBIGINT)', 13787848793156543929))} AS z) FROM u0),
+u2 AS (SELECT * REPLACE ({cut(wide('xor(z, z >> 27::UBIGINT)', 10723151780598845931))} AS z) FROM u1),
+u AS (SELECT * EXCLUDE (z), (xor(z, z >> 31::UBIGINT) >> 11::UBIGINT)::DOUBLE * pow(2::DOUBLE, -53) AS u FROM u2)"""
 
 
-@query(f"""WITH {BASE}, g AS (SELECT topic, masking, method, run, count(*) AS n, sum(CASE WHEN y_true=y_pred THEN 1 ELSE 0 END) AS k FROM bp WHERE split='test' AND aligned=1 AND masking='original' GROUP BY ALL),
-h AS (SELECT topic, masking, method, run, n, k, rep, sum(CASE WHEN {_D("'1'", 'topic', 'masking', 'method', 'run', 'rep', 'i')} % n < k THEN 1 ELSE 0 END) AS h FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, 100)) AS rep FROM g)) GROUP BY ALL),
+def _cumulated(src: str, keys: str, lo: str, hi: str, logs: str) -> str:
+    """Clauses that end in ``cum``: for each distinct ``keys`` of ``src`` the cumulated shares c of i in lo..hi, by log weights."""
+    return f"""w0 AS (SELECT *, {logs} AS l FROM (SELECT *, unnest(range({lo}, {hi} + 1)) AS i FROM (SELECT DISTINCT {keys} FROM {src}))),
+w1 AS (SELECT *, exp(l - max(l) OVER (PARTITION BY {keys})) AS e FROM w0),
+cum AS (SELECT *, sum(e) OVER (PARTITION BY {keys} ORDER BY i) / sum(e) OVER (PARTITION BY {keys}) AS c FROM w1)"""
+
+
+_LOG = lambda n, k: f"(lgamma({n} + 1.0::DOUBLE) - lgamma({k} + 1.0::DOUBLE) - lgamma({n} - {k} + 1.0::DOUBLE))"
+_STARS = "CASE WHEN p<0.001 THEN '***' WHEN p<0.01 THEN '**' WHEN p<0.05 THEN '*' ELSE '=' END"
+
+
+@query(f"""WITH {BASE}, g AS (SELECT topic, masking, method, run, count(*) AS n, coalesce(sum(CASE WHEN y_true=y_pred THEN 1 ELSE 0 END), 0)::BIGINT AS k FROM bp WHERE split='test' AND aligned=1 GROUP BY ALL),
+{_stream('g', "concat_ws('|', '1', topic, masking, method, run)")},
+{_cumulated('(FROM g WHERE k > 0 AND k < n)', 'n, k', '0', 'n', _LOG('n', 'i') + " + i * ln(k / n) + (n - i) * ln(1 - k / n)")},
+h AS (SELECT u.topic, u.masking, u.method, u.run, u.n, u.k, rep, i AS h FROM u ASOF JOIN cum ON u.n = cum.n AND u.k = cum.k AND u.u < cum.c UNION ALL SELECT topic, masking, method, run, n, k, rep, k FROM u WHERE k = 0 OR k = n),
 o AS (SELECT *, row_number() OVER (PARTITION BY topic, masking, method, run ORDER BY h, rep)-1 AS o FROM h)
-SELECT topic, masking, method, run, n, round(k/n, 9) AS acc, round(max(CASE WHEN o=2 THEN h/n END), 9) AS lo, round(max(CASE WHEN o=97 THEN h/n END), 9) AS hi FROM o GROUP BY topic, masking, method, run, n, k""")
+SELECT topic, masking, method, run, n, round(k/n, 9) AS acc, round(max(CASE WHEN o=25 THEN h/n END), 9) AS lo, round(max(CASE WHEN o=975 THEN h/n END), 9) AS hi FROM o GROUP BY topic, masking, method, run, n, k""")
 def b01_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1")
     return B.bootstrap(p.withColumn("ok", (F.col("y_true") == F.col("y_pred"))), RUN, ["pair"], "ok")
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two methods on their common pairs of run 1. ``conflict``: the two have different labels for the pair."""
     p = store(base_preds(spark, sf_dir).where("split = 'test' AND aligned = 1 AND run = 1").select("topic", "masking", "pair", "method", "y_true", "y_pred"), "preds")
     a = p.select("topic", "masking", "pair", F.col("method").alias("a"), F.col("y_true").alias("ya"), (F.col("y_true") == F.col("y_pred")).alias("ok_a"))
     b = p.select("topic", "masking", "pair", F.col("method").alias("b"), F.col("y_true").alias("yb"), (F.col("y_true") == F.col("y_pred")).alias("ok_b"))
     # methods meet only on their common pair; there are ten methods, so a pair has at most 45 of these rows
-    return a.join(b, ["topic", "masking", "pair"]).where("a < b AND ya = yb")
+    return a.join(b, ["topic", "masking", "pair"]).where("a < b").withColumn("conflict", F.col("ya") != F.col("yb"))
 
 
 _PAIRED = f"""{BASE}, e AS (SELECT topic, masking, pair, method, y_true, y_true=y_pred AS ok FROM bp WHERE split='test' AND aligned=1 AND run=1),
-j AS (SELECT x.topic, x.masking, x.method AS a, y.method AS b, x.ok AS ok_a, y.ok AS ok_b FROM e x JOIN e y ON x.topic=y.topic AND x.masking=y.masking AND x.pair=y.pair AND x.method<y.method AND x.y_true=y.y_true),
-g AS (SELECT topic, masking, a, b, count(*) AS n, count_if(ok_a)::BIGINT AS ra, count_if(ok_b)::BIGINT AS rb, count_if(ok_a<>ok_b)::BIGINT AS d FROM j GROUP BY ALL)"""
-_ART = f"""{_PAIRED}, f AS (SELECT *, abs(ra-rb) AS s FROM g),
-ex AS (SELECT topic, masking, a, b, n, ra, rb, d, avg(CASE WHEN abs(d-2*bit_count(m)) >= s THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT *, unnest(range(0, (1::BIGINT << d::BIGINT))) AS m FROM f WHERE d<=12) GROUP BY ALL),
-st AS (SELECT topic, masking, a, b, n, ra, rb, d, s, rep, abs(sum(1-2*({_D("'1'", 'topic', 'masking', 'a', 'b', 'rep', 'i')} % 2))) AS t FROM (SELECT *, unnest(range(0, d)) AS i FROM (SELECT *, unnest(range(0, 200)) AS rep FROM f WHERE d>12)) GROUP BY ALL),
-ap AS (SELECT topic, masking, a, b, n, ra, rb, d, (count_if(t>=s)::BIGINT+1)/201 AS p FROM st GROUP BY ALL),
-art AS (SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, round(p, 6) AS p, CASE WHEN p<0.001 THEN '***' WHEN p<0.01 THEN '**' WHEN p<0.05 THEN '*' ELSE '=' END AS stars FROM (FROM ex UNION ALL FROM ap))"""
+j AS (SELECT x.topic, x.masking, x.method AS a, y.method AS b, x.ok AS ok_a, y.ok AS ok_b, x.y_true <> y.y_true AS conflict FROM e x JOIN e y ON x.topic=y.topic AND x.masking=y.masking AND x.pair=y.pair AND x.method<y.method),
+g AS (SELECT topic, masking, a, b, count(*) AS n, count_if(ok_a)::BIGINT AS ra, count_if(ok_b)::BIGINT AS rb, count_if(ok_a<>ok_b)::BIGINT AS d FROM j WHERE NOT conflict GROUP BY ALL)"""
+_ART = f"""{_PAIRED}, f AS (SELECT *, abs(ra-rb) AS s FROM g), {_stream('(FROM f WHERE d > 20)', "concat_ws('|', '1', topic, masking, a, b)")},
+{_cumulated('f', 'd', '0', 'd', _LOG('d', 'i'))},
+ex AS (SELECT topic, masking, a, b, n, ra, rb, f.d, sum(CASE WHEN abs(f.d-2*i) >= s THEN e ELSE 0 END)/sum(e) AS p FROM f JOIN cum ON f.d = cum.d WHERE f.d <= 20 GROUP BY ALL),
+ap AS (SELECT topic, masking, a, b, n, ra, rb, u.d, (count_if(abs(u.d-2*i)>=s)::BIGINT+1)/1001 AS p FROM u ASOF JOIN cum ON u.d = cum.d AND u.u < cum.c GROUP BY ALL),
+art AS (SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, round(p, 6) AS p, {_STARS} AS stars FROM (FROM ex UNION ALL FROM ap))"""
 
 
 @query(f"WITH {_ART} SELECT * FROM art")
 def b02_paired_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.paired_randomization(_paired(spark, sf_dir), ["topic", "masking"])
+    """Pairs whose label the two methods do not agree on are left out here and counted by ``r21_aligned_pairs``."""
+    return B.paired_randomization(_paired(spark, sf_dir).where("NOT conflict"), ["topic", "masking"])
 
 
-@query(f"WITH {_PAIRED} SELECT topic, masking, a, b, n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, d FROM g")
+@query(f"WITH {_PAIRED}, k AS (SELECT topic, masking, a, b, count_if(conflict)::BIGINT AS conflicts FROM j GROUP BY ALL) SELECT topic, masking, a, b, coalesce(n, 0) AS n, round(ra/n, 9) AS acc_a, round(rb/n, 9) AS acc_b, coalesce(d, 0) AS d, conflicts FROM k LEFT JOIN g USING (topic, masking, a, b)")
 def r21_aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _paired(spark, sf_dir).groupBy("topic", "masking", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok_a").cast("double")), 9).alias("acc_a"), F.round(F.avg(F.col("ok_b").cast("double")), 9).alias("acc_b"), F.count_if(F.col("ok_a") != F.col("ok_b")).alias("d"))
-    return g
+    """``conflicts``: pairs with different labels, which count for nothing else; whoever must not have any checks for 0."""
+    both = F.when(~F.col("conflict"), F.lit(1))
+    right = lambda c: F.round(F.avg(F.when(~F.col("conflict"), F.col(c).cast("double"))), 9)
+    return _paired(spark, sf_dir).groupBy("topic", "masking", "a", "b").agg(F.count(both).alias("n"), right("ok_a").alias("acc_a"), right("ok_b").alias("acc_b"), F.count_if(~F.col("conflict") & (F.col("ok_a") != F.col("ok_b"))).alias("d"), F.count_if("conflict").alias("conflicts"))
+
+
+def _compared(v: DataFrame, by: list[str]) -> DataFrame:
+    """Every two ``side``s of a group by stratified randomization. ``v``: by, side, stratum, ok; counted before it meets."""
+    v = store(v.groupBy(*by, "side", "stratum", "ok").agg(F.count(F.lit(1)).alias("c")), "sides")
+    m = v.select(*by, "side").distinct()
+    m = m.withColumnRenamed("side", "side_a").join(m.withColumnRenamed("side", "side_b"), by).where("side_a < side_b")
+    w = v.join(m, by).where("side = side_a OR side = side_b").withColumn("g", F.when(F.col("side") == F.col("side_a"), "a").otherwise("b"))
+    return B.stratified_accuracy(w, [*by, "side_a", "side_b"], "stratum", "g", "ok", weight="c")
+
+
+def _compared_sql(v: str, by: str) -> str:
+    k = f"{by}, side_a, side_b"
+    return f"""v AS ({v}), m AS (SELECT DISTINCT {by}, side FROM v), mm AS (SELECT {by}, x.side AS side_a, y.side AS side_b FROM m x JOIN m y USING ({by}) WHERE x.side < y.side),
+t0 AS (SELECT {k}, stratum, count(*) AS n, sum(ok)::BIGINT AS k, count_if(side = side_a)::BIGINT AS na, coalesce(sum(CASE WHEN side = side_a THEN ok END), 0)::BIGINT AS ka FROM v JOIN mm USING ({by}) WHERE ok IS NOT NULL AND side IN (side_a, side_b) GROUP BY ALL),
+tt AS (SELECT {k}, sum(n) AS sn, sum(k) AS sk, sum(na) AS sna, sum(ka) AS ska FROM t0 GROUP BY ALL HAVING sum(na) > 0 AND sum(n - na) > 0),
+{_stream('t0', f"concat_ws('|', '1', {k}, stratum::VARCHAR)")},
+{_cumulated('t0', 'n, k, na', 'greatest(0, na - (n - k))', 'least(k, na)', _LOG('k', 'i') + ' + ' + _LOG('(n - k)', '(na - i)'))},
+x AS (SELECT {k}, rep, sum(i) AS h FROM u ASOF JOIN cum ON u.n = cum.n AND u.k = cum.k AND u.na = cum.na AND u.u < cum.c GROUP BY ALL),
+y AS (SELECT {k}, round(abs(ska/sna - (sk-ska)/(sn-sna)), 9) AS real, round(abs(h/sna - (sk-h)/(sn-sna)), 9) AS drawn FROM x JOIN tt USING ({k}))
+SELECT {k}, round(max(real), 6) AS diff, round((count_if(drawn >= real)::BIGINT + 1)/1001, 6) AS p FROM y GROUP BY ALL"""
 
 
 _CROSS = r"regexp_extract(topic, '^([a-z]+)2([a-z]+)$', {})"
 
 
-@query(f"""WITH {P}, v AS (SELECT row_id AS id, masking, method, {_CROSS.format(2)} AS target, y_true=y_pred AS ok, run AS stratum, {_CROSS.format(1)} AS source FROM p WHERE split='test' AND regexp_matches(topic, '^[a-z]+2[a-z]+$') AND masking='original'),
-m AS (SELECT masking, method, target, min(source) AS sa, max(source) AS sb FROM v GROUP BY ALL HAVING min(source) < max(source)),
-w AS (SELECT v.*, CASE WHEN source=sa THEN 'a' ELSE 'b' END AS g FROM v JOIN m USING (masking, method, target) WHERE source IN (sa, sb)),
-x AS (SELECT *, count_if(g='a') OVER (PARTITION BY masking, method, target, rep, stratum) AS na, row_number() OVER (PARTITION BY masking, method, target, rep, stratum ORDER BY {_D("'1'", 'rep', 'id')}, id) AS pos FROM (SELECT *, unnest(range(0, 50)) AS rep FROM w)),
-y AS (SELECT masking, method, target, rep, round(abs(avg(CASE WHEN g='a' THEN ok::DOUBLE END)-avg(CASE WHEN g='b' THEN ok::DOUBLE END)), 9) AS real, round(abs(avg(CASE WHEN pos<=na THEN ok::DOUBLE END)-avg(CASE WHEN pos>na THEN ok::DOUBLE END)), 9) AS drawn FROM x GROUP BY ALL)
-SELECT masking, method, target, round(max(real), 6) AS diff, round((count_if(drawn>=real)::BIGINT+1)/51, 6) AS p FROM y GROUP BY ALL""")
+@query(f"WITH {P}, " + _compared_sql(f"SELECT masking, method, {_CROSS.format(2)} AS target, {_CROSS.format(1)} AS side, run AS stratum, (y_true = y_pred)::INT AS ok FROM p WHERE split='test' AND regexp_matches(topic, '^[a-z]+2[a-z]+$')", "masking, method, target").replace(f"SELECT masking, method, target, side_a, side_b, round(max(real)", "SELECT masking, method, target, side_a AS source_a, side_b AS source_b, round(max(real)"))
 def b03_stratified_randomization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two sources of each cross-topic target, compared within runs."""
     c = r"^([a-z]+)2([a-z]+)$"
     v = predictions(spark, sf_dir).where((F.col("split") == "test") & F.col("topic").rlike(c))
-    v = v.select("masking", "method", F.regexp_extract("topic", c, 2).alias("target"), F.regexp_extract("topic", c, 1).alias("source"), F.col("run").alias("stratum"), (F.col("y_true") == F.col("y_pred")).cast("int").alias("ok"))
-    v = v.groupBy("masking", "method", "target", "source", "stratum", "ok").agg(F.count(F.lit(1)).alias("c"))
-    v = store(v, "sources")
-    m = v.select("masking", "method", "target", "source").distinct()
-    m = m.withColumnRenamed("source", "source_a").join(m.withColumnRenamed("source", "source_b"), ["masking", "method", "target"]).where("source_a < source_b")
-    w = v.join(m, ["masking", "method", "target"]).where("source = source_a OR source = source_b").withColumn("g", F.when(F.col("source") == F.col("source_a"), "a").otherwise("b"))
-    return B.stratified_accuracy(w, ["masking", "method", "target", "source_a", "source_b"], "stratum", "g", "ok", weight="c")
+    v = v.select("masking", "method", F.regexp_extract("topic", c, 2).alias("target"), F.regexp_extract("topic", c, 1).alias("side"), F.col("run").alias("stratum"), (F.col("y_true") == F.col("y_pred")).cast("int").alias("ok"))
+    return _compared(v, ["masking", "method", "target"]).withColumnsRenamed({"side_a": "source_a", "side_b": "source_b"})
+
+
+_LC = r"^(.+)__lc_n(\d+)_d(\d+)$"
+
+
+@query(f"WITH {P}, " + _compared_sql(f"SELECT regexp_extract(topic, '{_LC}', 1) AS base, masking, method, regexp_extract(topic, '{_LC}', 2)::INT AS side, regexp_extract(topic, '{_LC}', 3)::INT AS stratum, (y_true = y_pred)::INT AS ok FROM p WHERE split='test' AND regexp_matches(topic, '{_LC}')", "base, masking, method"))
+def b05_training_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two training sizes of a corpus, compared within the draws they share."""
+    part = lambda i: F.regexp_extract("topic", _LC, i)
+    v = predictions(spark, sf_dir).where((F.col("split") == "test") & F.col("topic").rlike(_LC))
+    v = v.select(part(1).alias("base"), "masking", "method", part(2).cast("int").alias("side"), part(3).cast("int").alias("stratum"), (F.col("y_true") == F.col("y_pred")).cast("int").alias("ok"))
+    return _compared(v, ["base", "masking", "method"])
+
+
+_FOLD = r"^([^_2]+)(?:__cv(\d+))?$"
+
+
+@query(f"WITH {P}, " + _compared_sql(f"SELECT regexp_extract(topic, '{_FOLD}', 1) AS base, masking, method, CASE WHEN regexp_extract(topic, '{_FOLD}', 2) = '' THEN 'orig' ELSE regexp_extract(topic, '{_FOLD}', 2) END AS side, run AS stratum, (y_true = y_pred)::INT AS ok FROM p WHERE split='test' AND regexp_matches(topic, '{_FOLD}')", "base, masking, method"))
+def b05_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two folds of a corpus and each fold with the corpus itself (``orig``), compared within runs."""
+    part = lambda i: F.regexp_extract("topic", _FOLD, i)
+    v = predictions(spark, sf_dir).where((F.col("split") == "test") & F.col("topic").rlike(_FOLD))
+    v = v.select(part(1).alias("base"), "masking", "method", F.coalesce(F.nullif(part(2), F.lit("")), F.lit("orig")).alias("side"), F.col("run").alias("stratum"), (F.col("y_true") == F.col("y_pred")).cast("int").alias("ok"))
+    return _compared(v, ["base", "masking", "method"])
 
 
 # ---- deduplication and reports ----
@@ -244,9 +304,6 @@ def a01_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(q, k, "left").fillna(0, ["sig_pairs", "n_pairs"])
 
 
-_LC = r"^(.+)__lc_n(\d+)_d(\d+)$"
-
-
 @query(rf"WITH {R}, l AS (SELECT regexp_extract(topic, '{_LC}', 1) AS base, regexp_extract(topic, '{_LC}', 2)::INT AS n_train_pairs, masking, method, acc FROM r WHERE regexp_matches(topic, '{_LC}') AND acc IS NOT NULL) SELECT base AS topic, masking, method, n_train_pairs, count(*) AS draws, round(avg(acc), 9) AS acc_mean, round(stddev_pop(acc), 9) AS acc_std, min(acc) AS acc_min, max(acc) AS acc_max FROM l GROUP BY ALL")
 def a03_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = runs(spark, sf_dir).where(F.col("topic").rlike(_LC) & F.col("acc").isNotNull())

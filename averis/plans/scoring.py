@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,21 +37,22 @@ def m04_coav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def m05_symbol_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5: the unknown text's contribution of each tenth of its symbols to the distance."""
+    """M5: what each symbol of the unknown text contributes to the distance; a case's shares sum to it."""
     @F.pandas_udf("array<double>")
-    def tenths(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def shares(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([None if not x or not y else [float(p.sum()) for p in np.array_split(np.array(S.compression_distances(x, y)[0]), 10)] for x, y in zip(a, b)], dtype=object)
+            yield pd.Series([None if not x or not y else S.compression_distances(x, y)[0] for x, y in zip(a, b)], dtype=object)
 
-    c = table(spark, sf_dir, "read_corpus_sorted").where("masking = 'posnoised'").select("case_id", "known", "unknown")
-    return c.select("case_id", F.posexplode(tenths("known", "unknown")).alias("part", "share"))
+    c = table(spark, sf_dir, "read_corpus_sorted").select("case_id", "known", "unknown")
+    c = c.repartition(max(c.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * 4))
+    return c.select("case_id", F.posexplode(shares("known", "unknown")).alias("place", "share"))
 
 
 @query
 def m07_lambdag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7, M8: likelihood ratio of every masked case, 5 reference models of order 5."""
-    c = cases(spark, sf_dir).where("masking = 'posnoised'")
-    k = c.select("case_id", F.col("topic").alias("group"), "ka", "ua", T.token_sentences("known").alias("known"), T.token_sentences("unknown").alias("unknown"))
+    """M7, M8: likelihood ratio of every case of both maskings, 5 reference models of order 5."""
+    c = cases(spark, sf_dir)
+    k = c.select("case_id", F.concat_ws("|", "masking", "topic").alias("group"), "ka", "ua", T.token_sentences("known").alias("known"), T.token_sentences("unknown").alias("unknown"))
     pool = k.select("group", F.col("ka").alias("author"), "known").distinct().select("group", "author", F.explode("known").alias("sentence"))
     return S.lambda_g(k, pool, references=5, order=5)
 
@@ -88,10 +88,15 @@ def m10_linear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def o01_run_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two methods over the masked corpora, split by known speaker, thresholds per corpus, metrics of both splits."""
+    """Two methods over all corpora, split by known speaker, thresholds per corpus, metrics of both splits; a method
+    that failed is a row with its reason."""
     from averis.operators import pipeline as P
 
-    c = cases(spark, sf_dir).where("masking = 'posnoised'")
+    c = cases(spark, sf_dir)
     c = c.select("case_id", "masking", "topic", F.when(F.pmod(F.xxhash64("ka"), F.lit(10)) < 4, "train").otherwise("test").alias("split"), F.concat("ka", F.lit("\u0001"), "ua").alias("pair"), F.col("ka").alias("known_author"), F.col("ua").alias("unknown_author"), "known", "unknown", F.col("label").cast("int").alias("y_true"))
-    out, _ = P.run(c, [P.build("coav"), P.build("lambdag", references=3, order=4)])
-    return M.metrics(out.where("y_pred IS NOT NULL"), [*RUN, "split"])
+    out, failed = P.run(c, [P.build("coav"), P.build("lambdag", references=3, order=4)])
+    reasons = spark.createDataFrame([(m, r, why) for m, r, why in failed], "method string, run int, failure string")
+    if out is None:
+        return reasons
+    scored = M.metrics(out.where("y_pred IS NOT NULL"), [*RUN, "split"])
+    return scored.withColumn("failure", F.lit(None).cast("string")).unionByName(reasons, allowMissingColumns=True)

@@ -54,3 +54,15 @@ def test_names(spark):
     got = df.select(pair_key("p").alias("p"), method_key("m").alias("m"), split_key("s").alias("s")).collect()
     assert tuple(got[0]) == ("Jürgen X\u0001B (C)", "dv", "test")
     assert tuple(got[1]) == ("case001", "css", "train") and tuple(got[2]) == (None, None, None)
+
+
+def test_identifiers_of_one_digest_stay_apart(spark, monkeypatch):
+    """With a digest that is the same for all rows only the identifier in the slot tells them apart."""
+    from pyspark.sql import functions as F
+
+    from averis.operators import dedup as D
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "row_id bigint, k string")
+    monkeypatch.setattr(D.F, "md5", lambda c: F.lit("0" * 32))
+    assert sorted(r.row_id for r in D.deduplicated(df, [F.col("k")], "row_id").collect()) == [2, 3, 5]
+    assert [r.row_id for r in D.deduplicated(df, [F.col("k")], "row_id", exact=False).collect()] == [5]

@@ -59,3 +59,22 @@ def test_paired_exact(spark):
 def test_stars(spark):
     df = spark.createDataFrame([(.0009,), (.009,), (.049,), (.05,)], "p double")
     assert [r.s for r in df.select(B.stars(F.col("p")).alias("s")).collect()] == ["***", "**", "*", "="]
+
+
+def test_threshold_ends_from_the_data(spark):
+    """No positive: every threshold above all scores is right, the first is half a thousandth above the largest."""
+    from averis.operators import metrics as M
+
+    rows = [("a", 0.1, 0), ("a", 0.2, 0), ("a", 0.3, 0), ("b", 0.1, 1), ("b", 0.2, 1)]
+    got = {r.g: (r.threshold, r.acc) for r in M.accuracy_threshold(spark.createDataFrame(rows, "g string, score double, y_true int"), ["g"], ends=None).collect()}
+    assert got == {"a": (0.3005, 1.0), "b": (0.099, 1.0)}
+
+
+def test_interpretability_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from averis.operators import metrics as M
+
+    rows = [(0.5, 0.5, True, 0.75), (1.0, 0.0, False, 0.0), (-1.0, 0.0, True, 0.0), (0.2, -0.4, False, 0.8 / 1.2)]
+    df = spark.createDataFrame(rows, "s double, r double, same boolean, want double")
+    assert all(abs(x.got - x.want) < 1e-12 for x in df.withColumn("got", M.interpretability(F.col("s"), F.col("r"), F.col("same"))).collect())

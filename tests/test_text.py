@@ -80,3 +80,21 @@ def test_splits_and_rings(spark):
     assert sum(1 for c in cases if c.label and c.split == "train") == 4
     folds = C.kfold(C.two_documents(docs), 3).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in folds] == [4, 3, 3]
+
+
+def test_collapse_by_hand():
+    from averis.functions.udfs import collapse_runs
+
+    ja = lambda k: " ".join(["ja"] * k)
+    assert [collapse_runs(ja(k)) for k in (5, 6, 10, 4)] == ["ja", "ja ja", "ja ja ja ja", ja(4)]
+    assert collapse_runs("a b a b a b c") == "a b c" and collapse_runs("a b a b c") == "a b a b c"
+    assert collapse_runs("") == "" and collapse_runs("x") == "x"
+    assert collapse_runs("x " * 3 + "a b c " * 4 + "a b") == "x x x a b c a b"
+
+
+def test_excerpt_by_hand():
+    from averis.functions.udfs import excerpt
+
+    t = "Aa. Bb. Cc. Dd. Ee. Ff. Gg."
+    assert excerpt(t, 3) == "Dd." and excerpt(t, 4) == "Dd. Ee." and excerpt(t, 8) == "Cc. Dd. Ee." and excerpt(t, 100) == t
+    assert excerpt("x" * 50, 5) == "x" * 50 and excerpt("A. " + "b" * 90 + ". C.", 10) == "b" * 90 + "."
