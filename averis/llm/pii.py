@@ -2,11 +2,15 @@
 
 Candidates are spans that a broad pattern of their kind (email, phone, idnum, address, name) proposes. Labelers look at
 each candidate and vote yes, no or nothing: strict patterns (digit counts, number formats), gazetteers (first names,
-top-level words, street words, function words), and context (words before and after). The votes of all candidates of
-all rows are counted by voting pattern; expectation-maximisation over these counts estimates each labeler's
-reliability without any gold label, and a logistic span classifier over the votes and the span's shape is trained on
-the resulting posteriors. The classifier decides. Pattern counts are a bounded table (a few hundred patterns), the
-spans themselves never leave the executors.
+top-level words, street words, function words), and context (words that introduce such data in general). The votes of
+all candidates of all rows are counted by voting pattern; expectation-maximisation over these counts estimates each
+labeler's reliability without any gold label. Its posteriors are the labels of a logistic span classifier, which decides.
+The classifier sees the votes, the span's shape and, for names, its first word, and the tokens in front of and behind it.
+A possible name that no labeler knows is judged by its place alone: a model of the places where known names stand is
+learned from the corpus, so no wording of such places is given and a name that no gazetteer holds is found there.
+
+Voting patterns are a bounded table (a few hundred); the classifier is fitted on about ``sample`` candidates (one class
+of hashes of all of them), counted before they are collected. The spans themselves never leave the executors.
 
 Where spans overlap the kinds go in the order email, idnum, phone, address, name. Replacement puts ``[EMAIL]`` and so
 on in place of each accepted span and leaves every other character as it is.
@@ -55,7 +59,7 @@ _OPENERS = "|".join(sorted({w.capitalize() for w in _FUNCTION if w.isalpha()}))
 _STREET = r"(?:straße|strasse|str\.|str|weg|platz|gasse|allee|ring|ufer|damm|steig|stieg|pfad|chaussee|teich|hof|berg|markt|graben|wall|park|tor|kamp|winkel)"
 _ROAD = r"(?:Road|Rd\.?|Lane|Ln\.?|Street|Avenue|Ave\.?|Drive|Close|Court|Way|Place|Square|Terrace|Crescent|Row|Hill)"
 _TOWN1 = r"(?:(?:Ober|Unter|Nieder|Bad|Neu|Alt|Groß|Klein|Sankt|St\.|Markt|Burg|Hohen|Mittel|Nord|Süd|Ost|West|Upper|Lower|Great|Little|New|Old|Saint|North|South|East|West|Port|Fort|Mount) )?[A-ZÄÖÜ][a-zäöüßéèáà]+(?:-[A-ZÄÖÜ][a-zäöüß]+)*(?: (?:am|an der|ob der|im|in der|bei|upon|on|under) [A-ZÄÖÜ][a-zäöüß]+)?"
-_CAP = r"[A-ZÄÖÜÉÈÁ][a-zäöüßéèêáàçñóíú]+"
+_CAP = r"(?:[A-ZÄÖÜÉÈÁ][a-zäöüßéèêáàçñóíú]+|[А-ЯЁ][а-яё]+|[Α-ΫΆΈΉΊΌΎΏ][ά-ώ]+)"
 _NUMBER = r"\d{1,4}(?: ?[a-h](?![\w]))?(?:[-/]\d{1,4}(?: ?[a-h](?!\w))?)?"
 
 PATTERNS = {
@@ -71,6 +75,8 @@ PATTERNS = {
     ),
     "name": re.compile(rf"(?<![\w.@-])(?!(?:{_OPENERS}) )(?:{_CAP}(?:-{_CAP})*|[A-ZÄÖÜ]\.(?:-?[A-ZÄÖÜ]\.)?) (?:(?:von|van|de|zu|von der|van der) )?{_CAP}(?:-{_CAP})*(?![\w@])"),
 }
+#: Names in scripts without capitals, as far as a title behind tells them.
+TITLED = re.compile("[一-鿿]{2,4}(?=さん|様|先生(?![はがをもとの]))|[ァ-ヴー]{2,}(?=さん|様)")
 SPOKEN = re.compile(rf"(?<!\w)(?:{_DIGIT})(?: (?:{_DIGIT})){{6,}}(?!\w)", re.I)
 _SPOKEN_HINTS = tuple(f" {d} " for d in _DIGIT.split("|"))
 _STREET_ENDS = tuple(_STREET[3:-1].replace("\\", "").split("|"))
@@ -80,11 +86,11 @@ _EMAIL_HINT = re.compile(rf" {_AT} \w", re.I)
 _BEFORE = {
     "email": re.compile(r"(?:mail|kontakt|contact|adresse|address|schreib|write|écri|escrib|fragen|questions|邮箱|メール|meldet)", re.I),
     "idnum": re.compile(r"(?:ausweis|pass|steuer|versicherung|nummer|number|social|security|insurance|tax|card|formular|identi|kenn|dni|nie|numéro|número)", re.I),
-    "phone": re.compile(r"(?:tel|handy|mobil|nummer|number|ruf|call|phone|appel|llam|fax|電話|电话)", re.I),
+    "phone": re.compile(r"\b(?:tel|handy|mobil|nummer|number|ruf|anruf|call|phone|appel|llam|fax)|電話|电话", re.I),
     "address": re.compile(r"(?:adresse|address|wohn|nach|paket|parcel|laden|shop|liegt|komm|send|live|visit|here)", re.I),
-    "name": re.compile(r"(?:\b(?:ich bin|i am|i'm|name ist|name is|my name|heiße|called|danke an|thanks to|frau|herrn?|mr\.?|mrs\.?|ms\.?|dr\.|prof\.|m'appelle|me llamo|stammt von|war damals|hat mir|stand schon|meinte|sagte|fragte|said|asked|then)|“,? \w+) $", re.I),
+    "name": re.compile(r"(?:\b(?:ich bin|i am|i'm|name ist|name is|my name|heiße|called|danke an|thanks to|frau|herrn?|mr\.?|mrs\.?|ms\.?|dr\.|prof\.|m'appelle|me llamo|меня зовут|με λένε)) $", re.I),
 }
-_AFTER_NAME = re.compile(r"\s*(?:,? (?:meinem|meiner|my|und zeige|aus dem|für den|for the|dazu|fragt|asked|said|sagte|meinte|und wartete|gezeigt|hier|and this)|[.!?]?$|さん|先生)")
+_AFTER_NAME = re.compile(r"\s*(?:,? (?:meinem|meiner|my|fragt|asked|said|sagte|meinte)|[.!?]?$|さん|様|先生)")
 _YES, _NO, _NIL = "y", "n", "-"
 
 
@@ -121,7 +127,7 @@ def labels(kind: str, text: str, a: int, b: int) -> str:
         start = not before or before.rstrip()[-1:] in ".!?\n…:" or before[-1:] == "\n"
         bad = (parts[0] in _FUNCTION and not initial) or last.lower() in _FUNCTION
         v = [_vote(known and not bad, bad), _vote(initial and not bad), _vote(context), _vote(_AFTER_NAME.match(after) is not None or not after), _vote(False, not known and not initial and not context)]
-        shape = ("initial" if initial else "known" if known else "other") + ("^" if start else "")
+        shape = ("initial" if initial else "titled" if " " not in span else "other") + ("^" if start else "")
     return "".join(v) + "|" + shape
 
 
@@ -144,16 +150,31 @@ def candidates_of(text: str) -> list[tuple[str, int, int, str]]:
             continue
         for m in PATTERNS[kind].finditer(text):
             a, b = m.span()
-            if kind == "phone" and sum(c.isdigit() for c in m.group()) < 6:
-                continue
             out.append((kind, a, b, labels(kind, text, a, b)))
+        if kind == "name" and TITLED.search(text):
+            out += [("name", *m.span(), labels("name", text, *m.span())) for m in TITLED.finditer(text)]
         if kind == "phone" and any(h in low for h in _SPOKEN_HINTS):
             out += [("phone", *m.span(), labels("phone", text, *m.span())) for m in SPOKEN.finditer(text)]
     return out
 
 
-def estimate(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tuple[str, str], float]:
-    """Posterior that a candidate is personal data, by kind and pattern: EM over labelers, then the span classifier."""
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
+
+
+def around(kind: str, text: str, a: int, b: int) -> list[str]:
+    """Tokens next to a span and, of a name, its first word: lower-cased, numbers as their length."""
+    plain = lambda t: f"#{min(len(t), 6)}" if t[:1].isdigit() else t.lower()[:20]
+    left = text[max(0, a - 30) : a]
+    before = _TOKEN.findall(left[left.rfind("\n") + 1 :])
+    after = _TOKEN.match(text[b : b + 30].lstrip(" "))
+    got = ["<" + (plain(before[-1]) if before else "^"), ">" + (plain(after.group()) if after else "$")]
+    if kind == "name":
+        got.append("=" + text[a:b].split(" ")[0].lower())
+    return got
+
+
+def posteriors(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tuple[str, str], float]:
+    """Posterior that a candidate is personal data, by kind and voting pattern: EM over the labelers."""
     result: dict[tuple[str, str], float] = {}
     for kind in KINDS:
         pats = sorted(p for k, p in counts if k == kind)
@@ -173,42 +194,107 @@ def estimate(counts: dict[tuple[str, str], int], rounds: int = 100) -> dict[tupl
                 den = mass.sum() + sum(prior.values())
                 for x in (_YES, _NO, _NIL):
                     p = ((mass * onehot[x]).sum(0) + prior[x]) / den
+                    if c and x == _NO:
+                        p[0] = min(p[0], 0.002)  # the first labeler of a kind knows its format: it says no to true data at most so often
                     ll[c] = ll[c] + onehot[x] @ np.log(p)
             new = 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -50, 50)))
             if np.abs(new - q).max() < 1e-6:
                 break
             q = new
-        shapes = sorted({p.split("|")[1] for p in pats})
-        x = np.column_stack([np.ones(len(pats)), onehot[_YES], onehot[_NO], *[[float(p.split("|")[1] == s) for p in pats] for s in shapes]])
-        w, g2 = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
-        weight = np.sqrt(n)
-        for _ in range(500):
-            g = x.T @ ((1 / (1 + np.exp(-x @ w)) - q) * weight) + 0.05 * w
-            g2 += g * g
-            w -= 0.5 * g / np.sqrt(g2)
-        for p, y in zip(pats, 1 / (1 + np.exp(-x @ w))):
-            result[(kind, p)] = float(y)
+        result.update({(kind, p): float(y) for p, y in zip(pats, q)})
     return result
 
 
+def _evidence(kind: str, pattern: str, near: list[str]) -> list[str]:
+    """Features of a candidate: its votes, its shape and the tokens around it."""
+    votes, shape = pattern.split("|")
+    return [kind, f"{kind} {shape}", *[f"{kind} {x}" for x in near], *[f"{kind} {j}{v}" for j, v in enumerate(votes) if v == _YES or (v == _NO and not (kind == "name" and j == 4))]]
+
+
+def _unknown(kind: str, pattern: str) -> bool:
+    """A possible name that no labeler knows, for or against."""
+    votes = pattern.split("|")[0]
+    return kind == "name" and _YES not in votes and votes[0] != _NO
+
+
+def _place(pattern: str, near: list[str]) -> list[str]:
+    """Features of the place where a possible name stands, whatever the name."""
+    return ["~", "~" + pattern.split("|")[1], "~" + near[0], "~" + near[1], f"~{near[0]}{near[1]}"]
+
+
+def _logistic(rows: list[tuple[list[str], float, float]], steps: int, l2: float) -> dict[str, float]:
+    """Weights from (features, label in 0..1, weight) by full-batch AdaGrad."""
+    names = {f: i for i, f in enumerate(sorted({f for fs, _, _ in rows for f in fs}))}
+    if not names:
+        return {}
+    width = max(len(fs) for fs, _, _ in rows)
+    idx = np.full((len(rows), width), len(names))
+    for r, (fs, _, _) in enumerate(rows):
+        idx[r, : len(fs)] = [names[f] for f in fs]
+    y, n = np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+    w, g2 = np.zeros(len(names) + 1), np.full(len(names) + 1, 1e-8)
+    for _ in range(steps):
+        g = np.bincount(idx.ravel(), np.repeat((1 / (1 + np.exp(-np.clip(w[idx].sum(1), -50, 50))) - y) * n, width), len(w)) + l2 * w
+        g[-1] = 0.0
+        g2 += g * g
+        w -= 0.5 * g / np.sqrt(g2)
+        w[-1] = 0.0
+    return {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-3}
+
+
+def classifier(cases: list[tuple[str, str, list[str], int]], q: dict[tuple[str, str], float], steps: int = 300, l2: float = 0.02) -> dict[str, float]:
+    """Weights of the span classifier from counted candidates (kind, pattern, tokens around, count) and the posteriors of
+    their patterns.
+
+    A name that no labeler knows is not a negative case, it is unlabelled. For those a second model learns, from the places
+    alone, where known names stand; it sees a known name at only a share of the places of names, and that share is its mean
+    over the known names. A place is one of names if the model gives at least half of that."""
+    cases = sorted(cases)
+    weights = _logistic([(_evidence(k, p, near), q[(k, p)], n**0.5) for k, p, near, n in cases], steps, l2)
+    places = [(_place(p, near), q[(k, p)], float(n)) for k, p, near, n in cases if k == "name" and p[0] != _NO]
+    where = _logistic(places, steps, l2)
+    mass = sum(y * n for _, y, n in places)
+    share = sum(y * n / (1 + np.exp(-sum(where.get(f, 0.0) for f in fs))) for fs, y, n in places) / mass if mass > 0 else 1.0
+    return weights | where | {"~share": float(np.log(share / (2 - share)))}
+
+
+def accepts(w: dict[str, float], kind: str, pattern: str, near: list[str]) -> bool:
+    if _unknown(kind, pattern):
+        return sum(w.get(f, 0.0) for f in _place(pattern, near)) >= max(w["~share"], -2.0)
+    return sum(w.get(f, 0.0) for f in _evidence(kind, pattern, near)) >= 0
+
+
 def candidates(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, kind, start, end, pattern, pii) of every candidate of every row, stored once."""
+    """(keys, kind, start, end, pattern, near, pii) of every candidate of every row, stored once."""
 
-    @F.pandas_udf("array<struct<kind:string,start:int,end:int,pattern:string,pii:string>>")
+    @F.pandas_udf("array<struct<kind:string,start:int,end:int,pattern:string,near:array<string>,pii:string>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([[(k, a, b, p, t[a:b]) for k, a, b, p in candidates_of(t)] for t in s], dtype=object)
+            yield pd.Series([[(k, a, b, p, around(k, t, a, b), t[a:b]) for k, a, b, p in candidates_of(t)] for t in s], dtype=object)
 
     rows = df.where(F.length(text) > 0).select(*keys, F.explode(find(F.col(text))).alias("c"))
     return store(rows.select(*keys, "c.*"), "pii")
 
 
-def accepted(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates the classifier accepts, overlaps resolved by kind."""
+def fit(found: DataFrame, sample: int = 200_000) -> dict[str, float]:
+    """Weights of the span classifier: posteriors from the votes of all candidates, the classifier on a sample of them."""
     counts = {(r["kind"], r["pattern"]): r["n"] for r in found.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
-    good = [(k, p) for (k, p), y in estimate(counts).items() if y >= 0.5]
-    spark = found.sparkSession
-    yes = found.join(F.broadcast(spark.createDataFrame(good, "kind string, pattern string")), ["kind", "pattern"]) if good else found.limit(0)
+    classes = 1 + sum(counts.values()) // sample
+    seen = found.where(F.pmod(F.xxhash64("pii", "near", F.lit(29)), F.lit(classes)) == 0).groupBy("kind", "pattern", "near").agg(F.count(F.lit(1)).alias("n"))
+    return classifier([(r["kind"], r["pattern"], list(r["near"]), r["n"]) for r in seen.collect()], posteriors(counts))
+
+
+def accepted(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates the classifier accepts."""
+    shared = found.sparkSession.sparkContext.broadcast(fit(found))
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        w = shared.value
+        for kinds, patterns, nears in batches:
+            yield pd.Series([accepts(w, k, p, list(near)) for k, p, near in zip(kinds, patterns, nears)], dtype=bool)
+
+    yes = found.where(good("kind", "pattern", "near"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     return yes.select(*keys, "kind", "start", "end", "pii", rank.alias("rank"))
 
@@ -236,21 +322,23 @@ def personal_data(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def masked(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, text) of every row with each span replaced by its kind's placeholder."""
-    spans = personal_data(df, keys, text)
+    """(keys, text) of every row with each span replaced by its kind's placeholder. The classifier is broadcast and each
+    text is searched again where it is, so no text is moved."""
+    shared = df.sparkSession.sparkContext.broadcast(fit(candidates(df, keys, text)))
+    ranks = {k: i for i, k in enumerate(KINDS)}
+
+    def mask(t: str, w: dict[str, float]) -> str:
+        spans = [{"start": a, "end": b, "kind": k, "rank": ranks[k]} for k, a, b, p in candidates_of(t) if accepts(w, k, p, around(k, t, a, b))]
+        parts, at = [], 0
+        for x in resolved(spans):
+            parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
+            at = x["end"]
+        return "".join(parts) + t[at:]
 
     @F.pandas_udf("string")
-    def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        res = []
-        for t, s in zip(texts, spans):
-            if t is None or s is None:
-                res.append(t)
-                continue
-            parts, at = [], 0
-            for x in s:
-                parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
-                at = x["end"]
-            res.append("".join(parts) + t[at:])
-        return pd.Series(res, dtype=object)
-
-    return df.select(*keys, F.col(text).alias("_t")).join(spans, keys, "left").select(*keys, replace("_t", "spans").alias("text"))
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = shared.value
+        for s in batches:
+            yield pd.Series([mask(t, w) if t else t for t in s], dtype=object)
+
+    return df.select(*keys, replace(F.col(text)).alias("text"))

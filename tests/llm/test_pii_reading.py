@@ -35,6 +35,25 @@ def test_em_and_masking(spark):
             assert out[i] == t.replace(s, f"[{k.upper()}]")
 
 
+def test_names_no_list_holds_are_found_by_their_place(spark):
+    """Places of names are learned from names that a list holds; nothing about the wording is given."""
+    known = ["Anna", "Karsten", "Paula", "Björn", "Maren", "Jana", "Lutz", "Silke"]
+    rows = [f"Gestern rief {a} {b} an und lachte." for a in known for b in ("Dremmley", "Voskenrath", "Natzano")]
+    rows += ["Gestern rief Xandor Quibbel an und lachte.", "Gestern rief Yorrick Dremmley an und lachte."]
+    rows += [f"Dort liegt {a} neben dem Tisch." for a in ("Altes Holz", "Neue Farbe", "Grobes Papier", "Feines Garn")] * 6
+    rows += ["Dort liegt Xandor Holz neben dem Tisch."]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    found = {(r.id, r.pii) for r in pii.personal_data(df, ["id"], "text").select("id", F.explode("spans").alias("s")).select("id", "s.pii").collect()}
+    assert found == {(i, " ".join(t.split(" ")[2:4])) for i, t in enumerate(rows) if t.startswith("Gestern")}
+
+
+def test_candidates_in_other_scripts_and_short_numbers():
+    spans = lambda t: {(k, t[a:b]) for k, a, b, _ in pii.candidates_of(t)}
+    assert ("name", "Анна Каренина") in spans("Меня зовут Анна Каренина.") and ("name", "Μαρία Παππά") in spans("Με λένε Μαρία Παππά.")
+    assert ("name", "田中") in spans("昨日、田中さんが来ました。") and not spans("先生と言いました。")
+    assert ("phone", "0171-39") in spans("Ruf an: 0171-39, ja.")
+
+
 def test_no_candidates(spark):
     df = spark.createDataFrame([(1, "nichts hier")], "id bigint, text string")
     assert pii.personal_data(df, ["id"], "text").count() == 0
