@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from averis.session import store
+
 
 def order_key(seed: int | str, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]).cast("binary"))
@@ -98,3 +100,62 @@ def structure(cases: DataFrame) -> DataFrame:
     j = c.where(~F.col("y")).alias("c").join(home.select("topic", F.col("s").alias("known_author"), F.col("home").alias("hk")), ["topic", "known_author"], "left").join(home.select("topic", F.col("s").alias("unknown_author"), F.col("home").alias("hu")), ["topic", "unknown_author"], "left")
     far = j.groupBy("topic", "split").agg(F.count_if((F.col("hk") != F.col("split")) | (F.col("hu") != F.col("split"))).alias("straddling"))
     return counts.join(who, ["topic", "split"]).join(far, ["topic", "split"], "left").fillna(0, ["straddling"])
+
+
+def rotations(authors: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
+    """(topic, fold, kind, known_author, unknown_author, split): per fold the same-author cases of its authors to test and
+    of all others to train, and the different-author cases of the ring, to test where the left author is of the fold."""
+    f = kfold(authors, k, seed)
+    ring = Window.partitionBy("topic").orderBy("pos")
+    nxt = F.coalesce(F.lead("author").over(ring), F.first("author").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    f = f.withColumns({"right": nxt, "m": F.count(F.lit(1)).over(Window.partitionBy("topic"))})
+    kinds = F.array(F.struct(F.lit("Y").alias("kind"), F.col("author").alias("unknown_author")), F.struct(F.lit("N").alias("kind"), F.col("right").alias("unknown_author")))
+    each = f.select("topic", F.col("author").alias("known_author"), F.col("fold").alias("own"), "m", F.inline(kinds)).where("kind = 'Y' OR m > 1")
+    each = each.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return each.select("topic", "fold", "kind", "known_author", "unknown_author", F.when(F.col("own") == F.col("fold"), "test").otherwise("train").alias("split"))
+
+
+def harvested(cases: DataFrame, least: int = 4) -> DataFrame:
+    """(topic, speaker, known, unknown, fault) from same-author cases: each speaker must have exactly one case with both
+    texts and a topic at least ``least`` speakers; what breaks this is named in ``fault`` (``harvest`` raises on it)."""
+    y = cases.where(F.col("known_author") == F.col("unknown_author"))
+    g = y.groupBy("topic", F.col("known_author").alias("speaker")).agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known"), F.max("unknown").alias("unknown"))
+    few = g.groupBy("topic").agg((F.count(F.lit(1)) < least).alias("few"))
+    fault = F.when(F.col("n") > 1, "several cases").when(F.col("known").isNull() | F.col("unknown").isNull(), "a side without text").when(F.col("few"), "too few speakers")
+    return g.join(few, "topic").select("topic", "speaker", "known", "unknown", fault.alias("fault"))
+
+
+def harvest(cases: DataFrame, least: int = 4) -> DataFrame:
+    h = harvested(cases, least)
+    bad = h.where("fault IS NOT NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['topic']}, {bad[0]['speaker']}: {bad[0]['fault']}")
+    return h.drop("fault")
+
+
+def crossed(cases: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(topic, source, target, split, known_author, unknown_author, copies) for all ordered pairs of topics: training
+    cases of the source, test cases of the target. ``copies`` above 1 tells a case that two splits of a topic share."""
+    t = (topics or cases.select("topic")).select("topic").distinct()
+    lists = t.agg(F.sort_array(F.collect_set("topic")).alias("all"))  # the names of the topics alone
+    kinds = cases.groupBy("topic", "known_author", "unknown_author").agg(F.collect_set("split").alias("splits")).withColumn("split", F.explode("splits"))
+    other = kinds.join(F.broadcast(lists)).withColumn("other", F.explode("all")).where("other <> topic")
+    train = F.col("split") == "train"
+    source, target = F.when(train, F.col("topic")).otherwise(F.col("other")), F.when(train, F.col("other")).otherwise(F.col("topic"))
+    return other.select(F.concat(source, F.lit("2"), target).alias("topic"), source.alias("source"), target.alias("target"), "split", "known_author", "unknown_author", F.size("splits").alias("copies"))
+
+
+def connected(edges: DataFrame, by: str = "topic", most: int = 60) -> DataFrame:
+    """(by, s, root): the component of every end of an edge (u, v), named by its smallest member. Smallest labels spread
+    along edges and each label is replaced by its own label, so a chain halves with every round."""
+    both = store(edges.select(by, F.inline(F.array(F.struct(F.col("u").alias("s"), F.col("v").alias("t")), F.struct(F.col("v").alias("s"), F.col("u").alias("t"))))).distinct(), "edges")
+    label = store(both.groupBy(by, "s").agg(F.least(F.min("t"), F.col("s")).alias("root")), "labels")
+    for _ in range(most):
+        near = both.join(label.select(by, F.col("s").alias("t"), F.col("root").alias("r")), [by, "t"]).groupBy(by, "s").agg(F.min("r").alias("r"))
+        new = label.join(near, [by, "s"]).select(by, "s", "root", F.least("root", "r").alias("low"))
+        up = label.select(by, F.col("s").alias("low"), F.col("root").alias("above"))
+        new = store(new.join(up, [by, "low"]).select(by, "s", F.least("low", "above").alias("root"), (F.least("low", "above") < F.col("root")).alias("moved")), "labels")
+        label = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return label
+    raise RuntimeError(f"labels still move after {most} rounds")

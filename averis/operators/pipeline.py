@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from averis.functions import text as T
 from averis.functions.names import METHODS
+from averis.operators import linear
 from averis.operators import metrics as M
 from averis.operators import scorers as S
 from averis.operators.vectorize import cosine
@@ -72,19 +73,15 @@ def _embedding(cases: DataFrame, run: int) -> DataFrame:
 
 
 def build(name: str, scorer: Scorer | None = None, references: int = 100, order: int = 10) -> Method:
-    """The configured method of a registry key. Encoder methods read vector columns; linear ones need a ``scorer`` that
-    gives their probability."""
+    """The configured method of a registry key. Encoder methods read vector columns. ``scorer`` takes the place of its own."""
     if name not in METHODS:
         raise ValueError(f"unknown method {name!r}; one of {', '.join(METHODS)}")
-    known: dict[str, tuple[Scorer | None, str | float]] = {
+    known: dict[str, tuple[Scorer, str | float]] = {
         "coav": (_compression, "eer"), "lambdag": (_likelihood(references, order), "calibrated"), "mlsr": (_embedding, "eer"), "mstyledistance": (_embedding, "eer"),
-        "siambert": (_embedding, "accuracy"), "rsp": (_embedding, "accuracy_data"), "css": (_embedding, 0.0), "fevec": (None, 0.5), "dv": (None, 0.5), "stylospeaker": (None, 0.5),
+        "siambert": (_embedding, "accuracy"), "rsp": (_embedding, "accuracy_data"), "css": (_embedding, 0.0), **{k: (f, 0.5) for k, f in linear.SCORERS.items()},
     }
     default, decision = known[name]
-    use = scorer or default
-    if use is None:
-        raise ValueError(f"method {name!r} needs a scorer")
-    return Method(name, use, decision)
+    return Method(name, scorer or default, decision)
 
 
 def run(cases: DataFrame, methods: list[Method], runs: int = 1) -> tuple[DataFrame | None, list[tuple[str, int, str]]]:
@@ -96,7 +93,7 @@ def run(cases: DataFrame, methods: list[Method], runs: int = 1) -> tuple[DataFra
                 scored = store(m.scorer(cases, r).select("case_id", *CORPUS, "split", "pair", "y_true", "score"), "scored")
                 p = m.transform(scored, m.fit(scored)).select("topic", "masking", F.lit(m.name).alias("method"), F.lit(r).alias("run"), "split", "pair", "y_true", "y_pred", "score", F.lit(1).alias("aligned"))
                 p = store(p, "predictions")
-            except Exception as e:  # noqa: BLE001  a method that fails must not take the others with it
+            except Exception as e:  # noqa: BLE001  a method that fails must not take the others with it; it is reported
                 failed.append((m.name, r, str(e).splitlines()[0][:300]))
                 continue
             out = p if out is None else out.unionByName(p)

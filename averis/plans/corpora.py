@@ -195,3 +195,42 @@ def r15_training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = a.withColumns({"nx": F.coalesce(F.lead("doc2").over(w), F.first("doc2").over(whole)), "m": F.count(F.lit(1)).over(Window.partitionBy("topic"))}).where("m > 1")
     return a.select("topic", F.col("doc1").alias("doc_a"), F.col("doc2").alias("doc_b"), F.lit(1).alias("label")).unionByName(n.select("topic", F.col("doc1").alias("doc_a"), F.col("nx").alias("doc_b"), F.lit(0).alias("label")))
+
+
+@query(f"""WITH {_DOCS}, k AS (SELECT topic, author, row_number() OVER w - 1 AS pos, ntile(5) OVER w - 1 AS own, count(*) OVER (PARTITION BY topic) AS m FROM a WINDOW w AS (PARTITION BY topic ORDER BY md5('7|' || topic || '|' || author), author)),
+e AS (SELECT topic, author AS l, author AS r, own, 'Y' AS kind FROM k UNION ALL SELECT x.topic, x.author, y.author, x.own, 'N' FROM k x JOIN k y ON x.topic = y.topic AND y.pos = (x.pos + 1) % x.m WHERE x.m > 1)
+SELECT topic, fold::INT AS fold, kind, l AS known_author, r AS unknown_author, CASE WHEN own = fold THEN 'test' ELSE 'train' END AS split FROM e, (SELECT unnest(range(0, 5)) AS fold)""")
+def r07_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.rotations(C.two_documents(docs(spark, sf_dir)))
+
+
+@query(f"""WITH {_CASES}, g AS (SELECT topic, ka AS speaker, count(*) AS n, max(known) AS k, max(unknown) AS u FROM c WHERE ka = ua AND masking = 'original' GROUP BY ALL), f AS (SELECT topic, count(*) < 4 AS few FROM g GROUP BY topic)
+SELECT topic, speaker, CASE WHEN n > 1 THEN 'several cases' WHEN k IS NULL OR u IS NULL THEN 'a side without text' WHEN few THEN 'too few speakers' END AS fault FROM g JOIN f USING (topic)""")
+def r08_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers of the unmasked same-author cases with what keeps each from being used."""
+    c = cases(spark, sf_dir).where("masking = 'original'").select("topic", F.col("ka").alias("known_author"), F.col("ua").alias("unknown_author"), "known", "unknown")
+    return C.harvested(c).select("topic", "speaker", "fault")
+
+
+@query(f"""WITH {_DOCS}, d2 AS (SELECT DISTINCT topic, author FROM d), o2 AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('42|' || topic || '|' || author), author) - 1 AS pos, count(*) OVER (PARTITION BY topic) AS n FROM d2)
+SELECT doc_id, d.topic, CASE WHEN pos < round_even(n * 0.6::DOUBLE, 0) THEN 'test' ELSE 'train' END AS split FROM d JOIN o2 USING (topic, author)""")
+def r10_split_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors in hash order, the first 60 % with all their texts to test."""
+    d = docs(spark, sf_dir).where("topic IS NOT NULL AND author IS NOT NULL")
+    a = C.split_authors(d.select("topic", "author").distinct(), 0.6)
+    return d.join(a.select("topic", "author", F.when(F.col("split") == "train", "test").otherwise("train").alias("split")), ["topic", "author"]).select("doc_id", "topic", "split")
+
+
+@query(f"""WITH {_DOCS}, {_split(42)}, w AS (SELECT *, row_number() OVER (PARTITION BY topic, split ORDER BY md5('42n|' || topic || '|' || author), author) AS i, count(*) OVER (PARTITION BY topic, split) AS m FROM s),
+k AS ({_Y} UNION ALL SELECT l.topic, l.split, l.author, r.author, l.doc1, r.doc2, 0 FROM w l JOIN w r ON l.topic=r.topic AND l.split=r.split AND r.i = l.i % l.m + 1 WHERE l.m > 1),
+g AS (SELECT topic, known_author, unknown_author, split, count(*) OVER (PARTITION BY topic, known_author, unknown_author) AS copies FROM (SELECT DISTINCT topic, known_author, unknown_author, split FROM k)), t AS (SELECT DISTINCT topic AS other FROM k)
+SELECT CASE WHEN split = 'train' THEN topic || '2' || other ELSE other || '2' || topic END AS topic, CASE WHEN split = 'train' THEN topic ELSE other END AS source, CASE WHEN split = 'train' THEN other ELSE topic END AS target, split, known_author, unknown_author, copies::INT AS copies FROM g, t WHERE other <> topic""")
+def r11_crossed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.crossed(C.build_cases(docs(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_CASES}, e AS (SELECT DISTINCT topic, ka AS u, ua AS v FROM c WHERE ka <> ua UNION SELECT DISTINCT topic, ua, ka FROM c WHERE ka <> ua), r(topic, s, t) AS (SELECT topic, u, v FROM e UNION SELECT r.topic, r.s, e.v FROM r JOIN e ON r.topic = e.topic AND r.t = e.u)
+SELECT topic, s AS speaker, least(s, min(t)) AS root FROM r GROUP BY topic, s""")
+def r18_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cases(spark, sf_dir).where("ka <> ua").select("topic", F.least("ka", "ua").alias("u"), F.greatest("ka", "ua").alias("v")).distinct()
+    return C.connected(e).select("topic", F.col("s").alias("speaker"), "root")

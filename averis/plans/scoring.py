@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from averis.functions import text as T
-from averis.operators import corpus as C
+from averis.operators import linear
 from averis.operators import metrics as M
 from averis.operators import scorers as S
-from averis.operators import vectorize as V
 from averis.plans.corpora import cases
 from averis.plans.evaluation import RUN, base_preds
-from averis.plans.vectors import _counted
 from averis.session import store, table
 
 QUERIES: dict = {}
@@ -73,17 +71,33 @@ def m09_calibrated_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confusion(t.withColumn("y_pred", y), RUN)
 
 
+def run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of all corpora, split by known speaker."""
+    c = cases(spark, sf_dir)
+    return c.select("case_id", "masking", "topic", F.when(F.pmod(F.xxhash64("ka"), F.lit(10)) < 4, "train").otherwise("test").alias("split"), F.concat("ka", F.lit("\u0001"), "ua").alias("pair"), F.col("ka").alias("known_author"), F.col("ua").alias("unknown_author"), "known", "unknown", F.col("label").cast("int").alias("y_true"))
+
+
+def _linear(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    s = linear.SCORERS[name](run_cases(spark, sf_dir), 1)
+    return s.select("case_id", "masking", "topic", "split", "y_true", F.round("score", 4).alias("score"), (F.col("score") >= 0.5).cast("int").alias("y_pred"))
+
+
+@query
+def m10_stylospeaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8 blocks, |x1 - x2|, logistic regression, cut at 0.5."""
+    return _linear(spark, sf_dir, "stylospeaker")
+
+
+@query
+def m11_fevec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7 blocks, scaled, |x1 - x2| scaled again, penalty chosen on held-out pairs, refit."""
+    return _linear(spark, sf_dir, "fevec")
+
+
 @query
-def m10_linear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """|x1 - x2| of TF-IDF vectors, logistic regression on same- and different-author pairs."""
-    counted, n = _counted(spark, sf_dir)
-    vocab = V.vocabulary(counted, n, max_features=2000)
-    made = C.build_cases(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("source").alias("author"), "topic"))
-    pairs = made.select(F.xxhash64("known", "unknown").alias("pair_id"), F.col("known").alias("a"), F.col("unknown").alias("b"), "split", "label")
-    x = V.pair_difference(pairs, V.tfidf(counted, vocab))
-    model = S.linear_model(S.pair_vectors(pairs.where("split = 'train'"), x, vocab))
-    out = model.transform(S.pair_vectors(pairs.where("split = 'test'"), x, vocab))
-    return out.select("pair_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+def m12_dv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F21 blocks, best by chi2, trained on pairs of the distinct training documents."""
+    return _linear(spark, sf_dir, "dv")
 
 
 @query
@@ -92,9 +106,7 @@ def o01_run_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     that failed is a row with its reason."""
     from averis.operators import pipeline as P
 
-    c = cases(spark, sf_dir)
-    c = c.select("case_id", "masking", "topic", F.when(F.pmod(F.xxhash64("ka"), F.lit(10)) < 4, "train").otherwise("test").alias("split"), F.concat("ka", F.lit("\u0001"), "ua").alias("pair"), F.col("ka").alias("known_author"), F.col("ua").alias("unknown_author"), "known", "unknown", F.col("label").cast("int").alias("y_true"))
-    out, failed = P.run(c, [P.build("coav"), P.build("lambdag", references=3, order=4)])
+    out, failed = P.run(run_cases(spark, sf_dir), [P.build("coav"), P.build("lambdag", references=3, order=4)])
     reasons = spark.createDataFrame([(m, r, why) for m, r, why in failed], "method string, run int, failure string")
     if out is None:
         return reasons
