@@ -29,6 +29,5 @@ def test_runs_and_failures(spark):
 def test_registry():
     with pytest.raises(ValueError):
         P.build("nope")
-    with pytest.raises(ValueError):
-        P.build("dv")
+    assert P.build("dv").decision == 0.5 and callable(P.build("dv").scorer)
     assert P.build("siambert").decision == "accuracy"

@@ -11,7 +11,6 @@ from averis.plans import registry
 DATA = "/root/testdata/sf0.001"
 QUERIES = {k: v for m in registry.modules() for k, v in m.QUERIES.items()}
 SQL = {k: v for m in registry.modules() for k, v in m.SQL.items()}
-QUICK = [q for q in SQL if q not in ("b03_stratified_randomization",)]
 
 
 def cell(v):
@@ -29,7 +28,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", list(SQL))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
