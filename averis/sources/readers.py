@@ -68,6 +68,20 @@ def contraction_list(spark: SparkSession, path: str) -> DataFrame:
     return word_list(spark, path).where("contains(word, '\t')").select(T.strip(F.split_part("word", F.lit("\t"), F.lit(1))).alias("short"), T.strip(F.split_part("word", F.lit("\t"), F.lit(2))).alias("long"))
 
 
+def json_word_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, word) of a JSON object of word lists, as ``{"words": [...], "phrases": [...]}``; lower-cased."""
+    lists = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("kind", "words"))
+    return lists.select("kind", F.explode("words").alias("word")).select("kind", F.lower(T.strip("word")).alias("word")).where("word <> ''")
+
+
+def json_contractions(spark: SparkSession, path: str, field: str = "contractions") -> DataFrame:
+    """(short, long) of a JSON object that holds two lists under ``field``, the i-th entries of which belong together; what
+    has no partner is left out."""
+    lists = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$." + field).alias("v")).select(F.from_json("v", "array<array<string>>").alias("v"))
+    pairs = lists.select(F.explode(F.arrays_zip(F.col("v")[0].alias("short"), F.col("v")[1].alias("long"))).alias("p"))
+    return pairs.select(F.lower(T.strip("p.short")).alias("short"), F.lower(T.strip("p.long")).alias("long")).where("short IS NOT NULL AND long IS NOT NULL")
+
+
 def misspellings(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One column ``word`` of a list of the kind ``mis_words`` (behind //, comma separated), ``common_typos`` (last
     word of a line), ``brit_spelling`` (words of the first tab field) or ``determiner`` (first word)."""

@@ -35,3 +35,11 @@ def test_sinks(spark, tmp_path):
     W.append_results(df, str(tmp_path / "r"))
     assert [r.acc for r in spark.read.parquet(str(tmp_path / "r")).collect()] == [0.1235, 0.1235]
     assert "**" in W.matrix_text([("a", "b", "**")], {"a": 0.5, "b": 0.6}) and "b (0.600)" in W.matrix_latex([("a", "b", "**")], {"a": 0.5, "b": 0.6})
+
+
+def test_json_lists(spark, tmp_path):
+    f = tmp_path / "lists.json"
+    f.write_text('{"words": ["The", "of "], "phrases": ["in fact"]}')
+    assert {tuple(r) for r in R.json_word_lists(spark, str(f)).collect()} == {("words", "the"), ("words", "of"), ("phrases", "in fact")}
+    f.write_text('{"contractions": [["I\'m", "don\'t", "odd"], ["I am", "do not"]], "other": [["x"]]}')
+    assert {tuple(r) for r in R.json_contractions(spark, str(f)).collect()} == {("i'm", "i am"), ("don't", "do not")}
