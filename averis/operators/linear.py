@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF  # noqa: F401  loads the vector type
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

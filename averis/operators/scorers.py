@@ -1,4 +1,4 @@
-"""Pair scorers: prediction by partial matching, likelihood ratios of Kneser-Ney models, calibrated and linear models.
+"""Pair scorers: prediction by partial matching, likelihood ratios of Kneser-Ney models, calibrated models.
 
 The text models are sequential, so they run as Arrow-batched pandas UDFs over pairs; every pair is scored within its
 row and nothing is gathered. Null or empty texts give a null score, the row stays.
@@ -285,26 +285,3 @@ def calibrate(df: DataFrame, by: list[str], score: str = "score", truth: str = "
         if i % 3 == 2:
             fit = store(fit, "fit")
     return fit
-
-
-def pair_vectors(pairs: DataFrame, features: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(pair_id, label, features VECTOR): sparse vectors in the order of the vocabulary, which is bounded by its limit."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    names = [r["feature"] for r in vocab.select("feature").orderBy("feature").collect()]
-    size = len(names)
-    place = pairs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(names)], "feature string, i int")
-    entries = features.join(F.broadcast(place), "feature").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("e"))
-
-    @F.udf(VectorUDT())
-    def vec(e):
-        return SparseVector(size, [x["i"] for x in e or []], [x["value"] for x in e or []])
-
-    return pairs.join(entries, "pair_id", "left").select("pair_id", F.col("label").cast("double").alias("label"), vec("e").alias("features"))
-
-
-def linear_model(train: DataFrame, c: float = 1.0, max_iter: int = 100):
-    """Logistic regression on pair vectors (spark.ml); the regularisation is 1/(C n), the intercept is free."""
-    from pyspark.ml.classification import LogisticRegression
-
-    return LogisticRegression(regParam=1 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(train)
