@@ -210,7 +210,8 @@ def likelihood_ratio(known: list[tuple], unknown: list[tuple], samples: list[lis
 
 def _numbered(pool: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """(group, i, sentence): the sentences of each group numbered from 0, those of an author in one run; and
-    (group, author, start, n): these runs. Ranks come from counts per hash range, no window runs over an author's rows."""
+    (group, author, start, n): these runs. Ranks come from counts per hash range, no window runs over an author's rows. Joins
+    are by merging: a compressed table looks small enough to broadcast when its sentences would fill the driver."""
     h = F.xxhash64("author", "sentence", F.lit(seed))
     near = store(pool.select("group", "author", "sentence", h.alias("h"), F.shiftrightunsigned(h, 54).alias("cell")), "pool")
     cells = near.groupBy("group", "author", "cell").agg(F.count(F.lit(1)).alias("c"))
@@ -219,7 +220,7 @@ def _numbered(pool: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     runs = store(runs.select("group", "author", F.coalesce(F.sum("n").over(before(Window.partitionBy("group").orderBy("author"))), F.lit(0)).alias("start"), "n"), "runs")
     cells = cells.select("group", "author", "cell", F.coalesce(F.sum("c").over(before(Window.partitionBy("group", "author").orderBy("cell"))), F.lit(0)).alias("skip"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("group", "author", "cell").orderBy("h", "sentence")) - 1)
-    numbered = near.join(cells, ["group", "author", "cell"]).join(runs, ["group", "author"])
+    numbered = near.join(cells.hint("merge"), ["group", "author", "cell"]).join(runs.hint("merge"), ["group", "author"])
     return numbered.select("group", (F.col("start") + F.col("skip") + F.col("r")).alias("i"), "sentence"), runs
 
 
@@ -235,7 +236,7 @@ def lambda_g(cases: DataFrame, pool: DataFrame, references: int = 100, order: in
     own = lambda side, s, n: runs.select("group", F.col("author").alias(side), F.col("start").alias(s), F.col("n").alias(n))
     ask = c.where("size(known) > 0 AND size(unknown) > 0").select("case_id", "group", "ka", "ua", F.size("known").alias("k"))
     ask = ask.join(F.broadcast(runs.groupBy("group").agg(F.sum("n").alias("m"))), "group")
-    ask = ask.join(own("ka", "s1", "n1"), ["group", "ka"], "left").join(own("ua", "s2", "n2"), ["group", "ua"], "left")
+    ask = ask.join(own("ka", "s1", "n1").hint("merge"), ["group", "ka"], "left").join(own("ua", "s2", "n2").hint("merge"), ["group", "ua"], "left")
     ask = ask.select("case_id", "group", "k", "m", F.coalesce("s1", F.lit(0)).alias("s1"), F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("s2", F.lit(0)).alias("s2"), F.when(F.col("ka") == F.col("ua"), 0).otherwise(F.coalesce("n2", F.lit(0))).alias("n2"))
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,13 +246,13 @@ def lambda_g(cases: DataFrame, pool: DataFrame, references: int = 100, order: in
                 if others < x.k:
                     continue
                 skipped = sorted(((x.s1, x.n1), (x.s2, x.n2)))
+                at = []
                 for r in range(references):
-                    at = []
                     for t in drawn(others, x.k, f"{seed}|{x.case_id}|{r}"):
                         for s, n in skipped:
                             t += n if t >= s else 0
                         at.append(t)
-                    yield pd.DataFrame({"case_id": x.case_id, "group": x.group, "rep": r, "i": at})
+                yield pd.DataFrame({"case_id": x.case_id, "group": x.group, "rep": np.repeat(np.arange(references, dtype="int32"), x.k), "i": at})
 
     def score(cs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
         split = lambda xs: [tuple(x.split("\u001f")) for x in xs]
@@ -261,7 +262,7 @@ def lambda_g(cases: DataFrame, pool: DataFrame, references: int = 100, order: in
 
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wanted = ask.repartition(tasks, "case_id").mapInPandas(draws, "case_id bigint, group string, rep int, i bigint")
-    found = wanted.join(numbered, ["group", "i"]).select("case_id", "rep", F.array_join("sentence", "\u001f").alias("sentence"))
+    found = wanted.join(numbered.hint("merge"), ["group", "i"]).select("case_id", "rep", F.array_join("sentence", "\u001f").alias("sentence"))
     left = c.select("case_id", "known", "unknown").repartition(tasks, "case_id").groupBy("case_id")
     return left.cogroup(found.repartition(tasks, "case_id").groupBy("case_id")).applyInPandas(score, "case_id bigint, score double")
 
