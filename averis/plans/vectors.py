@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from averis.operators import features as FE
+from averis.operators import grams as G
 from averis.operators import metrics as M
 from averis.operators import vectorize as V
 from averis.operators.corpus import order_key
@@ -195,14 +196,15 @@ def v08_ngram_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_blocks(d: DataFrame) -> DataFrame:
-    n = d.count()
-    tags = F.filter(F.transform(T.tokens("text"), lambda t: F.lower(FE.tag(t))), lambda t: ~t.isin("punct", "sym", "x"))
-    grams = {"char": V.char_grams(F.col("text"), 3, 6), "word": V.array_grams(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), 1, 3), "pos": V.array_grams(tags, 1, 3)}
-    made = {}
-    for name, g in grams.items():
-        c = store(V.counted(d, g), name)
-        made[name] = V.tfidf(c, V.vocabulary(c, n, max_features=2000))
-    return V.union_blocks(made)
+    """Counted and weighed a document at a time (``operators.grams``); rows of one doc_id are one document."""
+    spark = d.sparkSession
+    blocks = {"char": G.Block(G.characters(3, 6), top=2000), "word": G.Block(lambda p: G.grams(p["word2"], 1, 3), top=2000), "pos": G.Block(lambda p: G.grams([k.lower() for k in G.word_tags(p)], 1, 3), top=2000)}
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = d.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    x = x.select(F.lit("").alias("corpus"), "doc_id", F.transform("texts", lambda t: F.struct(*[G.SOURCES[n](t).alias(n) for n in ("chars", "word2", "toks")])).alias("parts"))
+    size = spark.range(1).select(F.lit("").alias("corpus"), F.lit(d.count()).alias("docs"))
+    v = G.vocabulary(G.counted(x.select("corpus", "parts"), blocks), size, blocks)
+    return G.rows(x.where("doc_id IS NOT NULL"), blocks, v)
 
 
 @query(f"WITH {_GRAMS} SELECT feature, round(sum(value)/any_value(nd), 6) AS mean, round(CASE WHEN greatest(0, sum(value*value)/any_value(nd) - pow(sum(value)/any_value(nd), 2)) < 1e-18 THEN 1.0 ELSE sqrt(greatest(0, sum(value*value)/any_value(nd) - pow(sum(value)/any_value(nd), 2))) END, 6) AS sd FROM y, nd GROUP BY feature")

@@ -10,6 +10,7 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,13 +50,14 @@ def _remove_stored() -> None:
         pass
 
 
-def store(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back: a cheap cut that keeps column pruning."""
+def store(df: DataFrame, name: str = "t", partition_by: list[str] | None = None, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read it back, as ``schema`` if one is given: a cheap cut
+    that keeps column pruning."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _STORED.append(path)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def store_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
