@@ -73,9 +73,10 @@ BINARY = {
 }
 
 
-def learned(docs: DataFrame, blocks: dict[str, G.Block], reads: list[str], others: DataFrame | None = None) -> tuple[DataFrame, G.Vocabulary, dict[str, int]]:
-    """Documents as arrays (corpus, doc_id, train, i, v), the vocabulary of the training documents, and their number by corpus."""
-    train = docs.where("train")
+def learned(docs: DataFrame, blocks: dict[str, G.Block], reads: list[str], others: DataFrame | None = None, train: DataFrame | None = None) -> tuple[DataFrame, G.Vocabulary, dict[str, int]]:
+    """Documents as arrays (corpus, doc_id, train, i, v), the vocabulary of the training documents (``train``: corpus, text,
+    else those of ``docs``), and their number by corpus."""
+    train = docs.where("train") if train is None else train
     size = store(train.groupBy("corpus").agg(F.count(F.lit(1)).alias("docs")), "size")
     v = G.vocabulary(G.counted(G.sources(train, reads, ["corpus"]), blocks), size, blocks, others)
     by = [c for c in docs.columns if c != "text"]
@@ -244,8 +245,9 @@ def scored(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
 
 def _training_pairs(docs: DataFrame, max_pairs: int = 50_000, seed: int = 15) -> DataFrame:
     """R15 of the training documents of each corpus: all pairs of one author, and as many of two authors, both up to
-    ``max_pairs`` (the method's own setting), drawn by digests where there are more. Documents are numbered with those of an
-    author in one run, so that any pair is a number and only the pairs that are taken are made."""
+    ``max_pairs`` (the method's own setting), drawn by digests where there are more. A text of several authors is a document
+    of each. Documents are numbered with those of an author in one run, so that any pair is a number and only the pairs that
+    are taken are made."""
     d = store(docs.where("train AND author IS NOT NULL").select("corpus", "doc_id", "author"), "authored")
     runs = d.groupBy("corpus", "author").agg(F.count(F.lit(1)).alias("n"))
     start = F.sum("n").over(Window.partitionBy("corpus").orderBy("author").rowsBetween(Window.unboundedPreceding, -1))
@@ -315,18 +317,29 @@ def fevec(cases: DataFrame, run: int = 1) -> DataFrame:
     return _joined(cases, scored(tuned(rows.where("train")), rows))
 
 
+def authored(cases: DataFrame) -> DataFrame:
+    """(corpus, doc_id, author): the distinct texts of each author in the training cases."""
+    key = lambda c: F.concat_ws("|", "masking", "topic", F.md5(F.col(c).cast("binary")))
+    c = cases.where("split = 'train' AND known IS NOT NULL AND unknown IS NOT NULL")
+    return c.select(F.concat_ws("|", "masking", "topic").alias("corpus"), F.inline(F.array(F.struct(key("known").alias("doc_id"), F.col("known_author").alias("author")), F.struct(key("unknown").alias("doc_id"), F.col("unknown_author").alias("author"))))).distinct()
+
+
+def own_pairs(entries: DataFrame) -> DataFrame:
+    """The training pairs of ``authored`` texts; the method refuses a corpus of fewer than two authors, so it has none."""
+    several = entries.groupBy("corpus").agg(F.min("author").alias("lo"), F.max("author").alias("hi")).where("lo < hi").select("corpus")
+    return _training_pairs(entries.join(F.broadcast(several), "corpus", "left_semi").withColumn("train", F.lit(True)))
+
+
 def dv(cases: DataFrame, run: int = 1) -> DataFrame:
     """Trained on pairs of its own from the distinct training documents, applied to the cases; the 50,000 features of highest
-    chi2 in each corpus."""
+    chi2 in each corpus. A document is a text and its author, so a text of two authors counts twice."""
     docs, pairs = documents_and_pairs(cases)
-    key = lambda c: F.concat_ws("|", "masking", "topic", F.md5(F.col(c).cast("binary")))
-    who = cases.where("known IS NOT NULL AND unknown IS NOT NULL").select(F.inline(F.array(F.struct(key("known").alias("doc_id"), F.col("known_author").alias("author")), F.struct(key("unknown").alias("doc_id"), F.col("unknown_author").alias("author"))))).groupBy("doc_id").agg(F.min("author").alias("author"))
-    docs = store(docs.join(who, "doc_id"), "docs")
-    own = _training_pairs(docs)
+    entries = store(authored(cases), "authors")
+    own = own_pairs(entries)
     every = store(pairs.withColumn("train", F.lit(False)).select("corpus", F.col("pair_id").cast("bigint").alias("pair_id"), "a", "b", "train", "label").unionByName(own.select("corpus", "pair_id", "a", "b", "train", "label")), "every")
-    x, v, _ = learned(docs, BINARY, ["text", "chars", "toks", "words", "lens"])
+    x, v, _ = learned(docs, BINARY, ["text", "chars", "toks", "words", "lens"], train=docs.join(entries.select("doc_id", "author"), "doc_id"))
     x = store(x, "vectors")
-    rows = instances(paired(every, x, chosen(x.where("train"), v)), len(v))
+    rows = instances(paired(every, x, chosen(x.join(entries.select("doc_id", "author"), "doc_id"), v)), len(v))
     return _joined(cases, scored(fit(rows.where("train")), rows.where("NOT train")))
 
 

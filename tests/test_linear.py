@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -52,3 +54,15 @@ def test_differences_by_hand(spark):
     assert {(r.pair_id, r.feature, r.value) for r in L.differences(pairs, x).collect()} == {(1, "f", 2.0), (1, "g", 2.0)}
     docs = spark.createDataFrame([("c", "x", True), ("c", "y", True)], "corpus string, doc_id string, train boolean")
     assert {(r.doc_id, r.feature): round(r.value, 9) for r in L.scaled(x, docs).collect()} == {("x", "f"): 3.0, ("y", "f"): 1.0, ("y", "g"): 2.0}
+
+
+def test_a_text_of_two_authors_is_a_document_of_each(spark):
+    """The text "w" is of s1 and s2: two pairs of one author, and as many of two; a corpus of one author has none."""
+    cases = [(1, "original", "math", "train", "s1", "s2", "w", "w", 0), (2, "original", "math", "train", "s1", "s2", "x", "y", 0), (3, "original", "math", "test", "s1", "s3", "x", "z", 0)]
+    cases += [(4, "original", "diy", "train", "s1", "s1", "x", "y", 1), (5, "original", "math", "train", "s1", None, "x", None, 0)]
+    e = L.authored(spark.createDataFrame(cases, CASES))
+    assert sorted((r.corpus, r.author) for r in e.collect()) == [("original|diy", "s1")] * 2 + [("original|math", "s1")] * 2 + [("original|math", "s2")] * 2
+    got = L.own_pairs(e).collect()
+    key = {t: "original|math|" + hashlib.md5(t.encode()).hexdigest() for t in "wxy"}
+    assert sorted(r.label for r in got) == [0.0, 0.0, 1.0, 1.0] and {r.corpus for r in got} == {"original|math"}
+    assert {frozenset((r.a, r.b)) for r in got if r.label} == {frozenset((key["w"], key["x"])), frozenset((key["w"], key["y"]))}
