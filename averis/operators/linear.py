@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from averis.functions import text as T
 from averis.operators import features as FE
 from averis.operators import grams as G
+from averis.operators import logistic as LR
 from averis.operators.scorers import drawn
 from averis.session import store
 
@@ -226,14 +227,14 @@ def fit(rows: DataFrame, c: float = 1.0, max_iter: int = 100) -> LogisticRegress
     return LogisticRegression(featuresCol="vector", labelCol="label", regParam=1 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=max_iter).fit(rows)
 
 
-def tuned(rows: DataFrame, penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0), max_iter: int = 50) -> LogisticRegressionModel:
-    """The penalty that decides most held-out training pairs (a fifth, by hash) rightly, the strongest of equals; then a fit
-    of all training pairs with it. A penalty is per pair, as in stochastic descent."""
-    held = F.pmod(F.xxhash64("pair_id", F.lit(3)), F.lit(5)) == 0
-    part, rest = store(rows.where(~held), "fit"), store(rows.where(held), "held")
-    lr = lambda p: LogisticRegression(featuresCol="vector", labelCol="label", regParam=p, standardization=False, fitIntercept=False, maxIter=max_iter)
-    right = {p: lr(p).fit(part).transform(rest).where("prediction = label").count() for p in penalties}
-    return lr(max(penalties, key=lambda p: (right[p], p))).fit(rows)
+def tuned(rows: DataFrame, v: G.Vocabulary, over: np.ndarray, n: int, part: int, penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0), most: int = 1000) -> tuple[np.ndarray, dict[str, float]]:
+    """Weights and intercepts with the penalty that decides most held-out training pairs (a fifth, by hash) rightly, the
+    strongest of equals; fitted with it on all ``n`` training pairs, of which ``part`` are not held out. A penalty is per pair,
+    as in stochastic descent."""
+    found = LR.each(rows, v, over, [p * n for p in penalties], most, [p * part for p in penalties])
+    right = [sum(k for (_, j), (_, k) in found.items() if j == at) for at in range(len(penalties))]
+    best = max(range(len(penalties)), key=lambda k: (right[k], penalties[k]))
+    return LR.spread_out({c: f for (c, k), (f, _) in found.items() if k == best}, v, over)
 
 
 def scored(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
@@ -311,10 +312,14 @@ def fevec(cases: DataFrame, run: int = 1) -> DataFrame:
     docs, pairs = documents_and_pairs(cases)
     x, v, size = learned(docs, VECTOR, ["text", "blanked", "toks", "lettered"])
     x = store(x, "vectors")
-    d = store(paired(pairs, x, G.deviations(x.where("train"), v, size)), "differences")
-    count = {r.corpus: r["count"] for r in pairs.where("train").groupBy("corpus").count().collect()}
-    rows = instances(divided(d, G.deviations(d.where("train"), v, count)), len(v))
-    return _joined(cases, scored(tuned(rows.where("train")), rows))
+    over = G.deviations(x.where("train"), v, size)
+    d = store(paired(pairs.where("train"), x, over).withColumn("held", F.pmod(F.xxhash64("pair_id", F.lit(3)), F.lit(5)) == 0), "differences")
+    rows = d.groupBy("corpus", "held").count().collect()
+    count: dict[str, int] = {}
+    for r in rows:
+        count[r.corpus] = count.get(r.corpus, 0) + r["count"]
+    w, start = tuned(d, v, G.deviations(d, v, count), sum(count.values()), sum(r["count"] for r in rows if not r.held))
+    return _joined(cases, LR.probabilities(d.select("corpus", "pair_id", "i", "v").unionByName(paired(pairs.where("NOT train"), x, over).select("corpus", "pair_id", "i", "v")), w, start))
 
 
 def authored(cases: DataFrame) -> DataFrame:
