@@ -340,12 +340,12 @@ def dv(cases: DataFrame, run: int = 1) -> DataFrame:
     chi2 in each corpus. A document is a text and its author, so a text of two authors counts twice."""
     docs, pairs = documents_and_pairs(cases)
     entries = store(authored(cases), "authors")
-    own = own_pairs(entries)
-    every = store(pairs.withColumn("train", F.lit(False)).select("corpus", F.col("pair_id").cast("bigint").alias("pair_id"), "a", "b", "train", "label").unionByName(own.select("corpus", "pair_id", "a", "b", "train", "label")), "every")
     x, v, _ = learned(docs, BINARY, ["text", "chars", "toks", "words", "lens"], train=docs.join(entries.select("doc_id", "author"), "doc_id"))
     x = store(x, "vectors")
-    rows = instances(paired(every, x, chosen(x.join(entries.select("doc_id", "author"), "doc_id"), v)), len(v))
-    return _joined(cases, scored(fit(rows.where("train")), rows.where("NOT train")))
+    over = chosen(x.join(entries.select("doc_id", "author"), "doc_id"), v)
+    own = store(paired(own_pairs(entries), x, over), "own")
+    w, start = LR.spread_out({c: f for (c, _), (f, _) in LR.each(own.withColumn("held", F.lit(False)), v, over, [1.0], 1000).items()}, v, over)
+    return _joined(cases, LR.probabilities(paired(pairs, x, over), w, start))
 
 
 def _joined(cases: DataFrame, scores: DataFrame) -> DataFrame:
