@@ -14,6 +14,8 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -120,20 +122,32 @@ def grams(a: list[str], lo: int, hi: int) -> list[str]:
 def characters(lo: int, hi: int) -> Callable[[dict], list]:
     def make(d: dict) -> list:
         x, out = d["chars"], []
-        for n in range(lo, hi + 1):
-            out += [x[i : i + n] for i in range(len(x) - n + 1)]
+        a = list(x)
+        for n in range(1, hi + 1):
+            if n > 1:
+                a = list(map(add, a, x[n - 1 :]))
+            if n >= lo:
+                out += a
         return out
     return make
 
 
 def inside_words(lo: int, hi: int) -> Callable[[dict], list]:
     """``vectorize.char_wb``: a token shorter than ``lo`` with its blanks is its own n-gram once."""
+    known: dict[str, list] = {}
+
     def make(d: dict) -> list:
         out = []
         for t in d["blanked"]:
-            p = f" {t} "
-            for n in range(lo, hi + 1):
-                out += [p[i : i + n] for i in range(max(len(p) - n + 1, int(n == lo)))]
+            found = known.get(t)
+            if found is None:
+                if len(known) > 50_000:
+                    known.clear()
+                p = f" {t} "
+                found = [p[i : i + n] for n in range(lo, hi + 1) for i in range(max(len(p) - n + 1, int(n == lo)))]
+                if len(t) < 30:
+                    known[t] = found
+            out += found
         return out
     return make
 
@@ -282,8 +296,12 @@ def vector(corpus: str, parts: list[dict], blocks: dict[str, Block], places: dic
             e = sorted((here[k], v) for k, v in g.items() if k in here)
             i, v = np.array([p for p, _ in e], dtype=np.int32) - 1, np.array([v for _, v in e], dtype=float)
         else:
-            i, n = np.unique(np.array([p for p in map(here.get, g) if p], dtype=np.int32), return_counts=True)
-            i = i - 1
+            i = np.fromiter(map(here.get, g, repeat(0)), np.int32, len(g))
+            i = i[i > 0]
+            lo = i.min() if len(i) else 1
+            n = np.bincount(i - lo)  # a block's places lie together
+            i = np.flatnonzero(n)
+            n, i = n[i], i + (lo - 1)
             v = n * idf[i]
             v /= math.sqrt(v @ v) or 1.0
         at.append(i.astype(np.int32))
