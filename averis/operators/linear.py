@@ -1,8 +1,8 @@
-"""Linear pair methods: feature blocks of documents, differences of pairs, one logistic regression for all corpora.
+"""Linear pair methods: feature blocks of documents, differences of pairs, a logistic regression of each corpus.
 
-Every corpus has its own vocabulary, scaling and weights: features are keyed by corpus, a pair holds features of its own
-corpus only, and the corpus' constant stands for its intercept. The sum of such problems falls apart into one problem a
-corpus, so a single distributed fit gives the same weights as a fit of each. Vocabularies and scales come from documents of
+Every corpus has its own vocabulary, scaling and weights: features are keyed by corpus, and a pair holds features of its own
+corpus only. Either a task fits a corpus (``logistic``: fevec, dv), or all are in one distributed fit, a constant of each
+corpus being its intercept (stylospeaker): the sum falls apart into one problem a corpus, so the weights are the same. Vocabularies and scales come from documents of
 training pairs alone. Documents: ``corpus, doc_id, text, train``; pairs: ``corpus, pair_id, a, b, train, label``.
 
 Defined results: pairs with a null text have no row; a pair without a common or differing feature has the zero vector; a
@@ -158,21 +158,6 @@ def paired(pairs: DataFrame, x: DataFrame, over: np.ndarray) -> DataFrame:
     return j.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes) + ", i array<int>, v array<double>")
 
 
-def divided(x: DataFrame, over: np.ndarray) -> DataFrame:
-    """``x`` with v divided by ``over``."""
-    sent = x.sparkSession.sparkContext.broadcast(over)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i = b.column("i").flatten().to_numpy()
-            v = b.column("v")
-            ends = np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy())]).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(v.flatten().to_numpy() / sent.value[i]))
-            yield pa.RecordBatch.from_arrays([made if n == "v" else c for n, c in zip(b.schema.names, b.columns)], b.schema.names)
-
-    return x.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in x.dtypes))
-
-
 def instances(d: DataFrame, width: int) -> DataFrame:
     """Pairs with their sparse ``vector``, the constant of their corpus behind the features. The table is written as the
     structure that a vector is, and read as vectors."""
